@@ -9,8 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import exact_duplicates
+from .language_id import identify_languages, train_prototypes
+from .quality import classify_quality
 from .substring_dedup import remove_later_passages
 from .suffix_dedup import remove_repeated_strings
+from .url_filters import UrlFilter, host_rule, judge_urls, word_rule
+from .warc import read_warc, scratch_folder, write_warc
+
+#: Host and path rules, and the host words that the method itself blocks.
+URL_FILTER = UrlFilter(
+    (
+        host_rule("com", "/en/", "block"),
+        host_rule("example.com", "/en/7", "allow"),
+        host_rule("net", "/de/", "allow"),
+        host_rule("example.net", "/de/8", "block"),
+        host_rule("org", "/es/", "block"),
+        word_rule("spam-farm"),
+        word_rule("cheap-pills"),
+        word_rule("casino"),
+        word_rule("free-money"),
+    )
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +47,69 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = identify_languages(docs, train_prototypes(docs))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_FILTER)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    write_warc(_table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    records = read_warc(spark, folder)
+
+    def number(name: str):
+        return F.expr(f"try_cast(substring_index({name}, ':', -1) AS BIGINT)")
+
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_url_filters": op6_url_filters,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, {_LOWER_SQL.format("coalesce(text, '')")} AS t FROM documents)
+        WINDOW g AS (PARTITION BY t)
+    """,
+    "op6_url_filters": f"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, {_LOWER_SQL.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+        ), rules(rule_host, rule_path, rule_verdict) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), hits AS (
+            SELECT page_id, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule,
+                   first(rule_verdict ORDER BY length(rule_host || rule_path) DESC) AS verdict
+            FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(spam-farm|cheap-pills|casino|free-money)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM split LEFT JOIN hits USING (page_id)
+    """,
+}
