@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._spark import shared_checkpoint
 
-SCHEMA = "id long, no_id boolean, n_bytes long, text_sha256 string, chunks array<struct<fp:long,strong:binary>>"
+SCHEMA = "id long, no_id boolean, th long, n_bytes long, text_sha256 string, chunks array<struct<fp:long,strong:binary>>"
 WINDOW = 48
 
 
@@ -71,7 +71,8 @@ def _recipes(bits: int, least: int, most: int):
             at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             chunks = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(strong, pa.binary())], ["fp", "strong"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("no_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.string()), chunks], ["id", "no_id", "n_bytes", "text_sha256", "chunks"]
+                [batch.column("id"), batch.column("no_id"), batch.column("th"), pa.array(np.diff(offsets)), pa.array(digests, pa.string()), chunks],
+                ["id", "no_id", "th", "n_bytes", "text_sha256", "chunks"],
             )
 
     return rows
@@ -81,7 +82,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Groups texts that are equal after lower-casing A-Z; the largest id stays.
 
     Returns a row per input row: ``id_col``, n_bytes, text_sha256, keep_id,
-    group_size, kept, plus ``row`` (its number in scan order).
+    group_size, kept, and th (Spark's xxhash64 of the text as it was).
 
     Null text counts as empty, and empty texts form one group. Rows that share
     the largest id are all of a group's copies but the first in scan order, so
@@ -90,6 +91,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     t.limit_arrow_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = source.withColumn("th", F.xxhash64("text"))
     parsed = shared_checkpoint(source.mapInArrow(_recipes(bits, least, most), SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     chunks = parsed.select("row", F.posexplode("chunks").alias("seq", "chunk")).select("row", "seq", "chunk.fp", "chunk.strong")
     # A content per identifier: distinct contents of a fingerprint, combined before the shuffle.
@@ -100,7 +102,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("row")
         .agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: F.struct(c.fp, c.ordinal)).alias("recipe"))
     )
-    listed = parsed.select("row", "id", "no_id", "n_bytes", "text_sha256").join(recipes, "row")
+    listed = parsed.select("row", "id", "no_id", "th", "n_bytes", "text_sha256").join(recipes, "row")
     groups = listed.groupBy("recipe").agg(F.max(F.struct("id", (-F.col("row")).alias("back"), "no_id")).alias("best"), F.count("*").alias("group_size"))
     out = listed.join(groups, "recipe")
     return out.select(
@@ -110,5 +112,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(~F.col("best.no_id"), F.col("best.id")).alias("keep_id"),
         "group_size",
         (F.col("row") == -F.col("best.back")).alias("kept"),
-        "row",
+        "th",
     )

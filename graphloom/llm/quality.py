@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as t
-from ._spark import shared_checkpoint
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "marks", "bars", "non_ascii", "spaces",
     "distinct_words", "repeated_words", "top_word", "distinct_lines", "repeated_line_bytes", "line_words", "long_words",
 )
-FEATURE_SCHEMA = "id long, no_id boolean, x array<double>"
+FEATURE_SCHEMA = "id long, y int, x array<double>"
 
 #: Byte classes: upper-case, digit, symbol, closing mark, bar, non-ASCII, space; 0 is the rest.
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -73,7 +73,7 @@ def _features(batches):
     for batch in batches:
         data, offsets = t.column_bytes(batch.column("text"))
         x = np.array([text_features(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], dtype=np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("no_id"), t.list_array(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())], ["id", "no_id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), t.list_array(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())], ["id", "y", "x"])
 
 
 @dataclass
@@ -193,51 +193,48 @@ def fit_additive(x: np.ndarray, y: np.ndarray, bins: int = 64, grid: int = 8, ro
     return model
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, no_id, x): features of each whole text, kept in the shared folder."""
-    t.limit_arrow_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    return shared_checkpoint(source.mapInArrow(_features, FEATURE_SCHEMA))
-
-
-def train_quality(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", most_rows: int = 20_000) -> AdditiveModel:
+def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> AdditiveModel:
     """Fit on labelled rows whose crc32 of the id's text modulo 3 is not 1.
 
-    ``most_rows`` bounds the sample that reaches the driver (about; chosen by a
-    hash of the id). Null labels and ids don't count; an id with several labels
-    takes the smallest.
+    ``most_rows`` bounds the sample (about; chosen by a hash of the id), whose
+    labels are broadcast and whose features reach the driver. Null labels and
+    ids don't count; an id with several labels takes the smallest.
     """
+    t.limit_arrow_batches(docs.sparkSession)
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     own = own.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1).groupBy("id").agg(F.min("y").alias("y"))
     share = most_rows / max(own.count(), 1)
     if share < 1:
         own = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = features.filter("not no_id").join(own, "id").select("id", "x", "y").orderBy("id", "x").toPandas()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rows = texts.join(F.broadcast(own), "id").mapInArrow(_features, FEATURE_SCHEMA).orderBy("id", "x").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_additive(x, rows["y"].to_numpy(np.float64))
 
 
-def score_quality(features: DataFrame, model: AdditiveModel) -> DataFrame:
-    """(id, no_id, score)."""
+def with_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with each whole text's score; ``score_col`` replaces a column of that name."""
+    t.limit_arrow_batches(docs.sparkSession)
+    source = docs.drop(score_col) if score_col != text_col else docs
+    schema = T.StructType([*source.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def rows(batches):
         for batch in batches:
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("no_id"), pa.array(model.score(flat.reshape(-1, len(FEATURES))))], ["id", "no_id", "score"])
+            data, offsets = t.column_bytes(batch.column(text_col))
+            x = np.array([text_features(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, score_col])
 
-    return features.mapInArrow(rows, "id long, no_id boolean, score double")
+    return source.mapInArrow(rows, schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> DataFrame:
     """Score every text; ``id_col``, held_out, score (0 to 1, higher is better), predicted.
 
     Only the text enters a score. Null text is scored as an empty one; equal
-    texts score alike; with no usable labels every score is 0.5. A null id
-    comes back as null and is held out like the text ''. An empty table gives
-    an empty result.
+    texts score alike; with no usable labels every score is 0.5. Null and
+    repeated ids come back as they are, a null one held out like the text ''.
+    An empty table gives an empty result.
     """
-    features = feature_table(docs, id_col, text_col)
-    model = train_quality(features, labels, most_rows=most_rows)
-    key = F.when(~F.col("no_id"), F.col("id"))
-    held = F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    return score_quality(features, model).select(key.alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = train_quality(docs, labels, id_col=id_col, text_col=text_col, most_rows=most_rows)
+    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return with_quality(docs.select(id_col, text_col), model, text_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

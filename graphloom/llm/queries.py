@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .language_id import identify_languages, train_prototypes
+from .minhash_dedup import near_duplicates
 from .quality import classify_quality
+from .sentencepiece_wfst import load_model, round_trip
 from .substring_dedup import remove_later_passages
 from .suffix_dedup import remove_repeated_strings
 from .url_filters import UrlFilter, host_rule, judge_urls, word_rule
@@ -47,6 +50,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(_table(spark, sf_dir, "documents"), load_model())
+    return out.select("doc_id", "n_tokens", "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("exact").alias("round_trip"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = identify_languages(docs, train_prototypes(docs))
@@ -54,6 +62,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=75).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -77,7 +89,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=13)
+    listed = F.array_join("item_ids", ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op2_language_id": op2_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
@@ -89,7 +117,23 @@ QUERIES = {
 
 _LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS_SQL = "regexp_extract_all(" + _LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+        s AS (SELECT item_id, w, least(len(w), 13) AS n FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM s)),
+        dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n),
+        dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM dp),
+        hits AS (SELECT dw.doc_id, dw.n, dw.p, iw.item_id FROM dw JOIN iw USING (n, g)),
+        cover AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op7_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

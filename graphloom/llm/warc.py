@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import checkpoint_dir, shared_checkpoint
+from ._spark import checkpoint_dir
 
 MAGIC = b"\x1f\x8b\x08"
 DIGEST_SCHEMA = "id long, no_id boolean, th long, n_bytes long, digest string, same binary"
@@ -110,8 +110,8 @@ def _writer(folder: str, level: int):
     return rows
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0, level: int = 6) -> DataFrame:
-    """Write a record per row into ``folder``; return the files (path, records, bytes).
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0, level: int = 6) -> dict[str, int]:
+    """Write a record per row into ``folder``; return how many files, records and bytes.
 
     Of rows whose payloads are equal and of ``least_bytes`` or more, the one
     with the smallest id is a response and the others revisit it. Payload
@@ -129,7 +129,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_c
     first = F.concat(F.lit("urn:page:"), F.when(F.col("first.no_id"), "null").otherwise(F.col("first.id").cast("string")))
     revisits = (F.col("first.id") < F.col("id")) & (F.col("n_bytes") >= least_bytes)
     out = rows.join(roles, ["id", "th"]).select(name.alias("name"), "url", "payload", "digest", "n_bytes", F.when(revisits, first).alias("refers"))
-    return shared_checkpoint(out.mapInArrow(_writer(folder, level), FILE_SCHEMA))
+    files = out.mapInArrow(_writer(folder, level), FILE_SCHEMA)
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().asDict()
 
 
 def _member(file, at: int, keep: bool) -> tuple[bytes, int]:
