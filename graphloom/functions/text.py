@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def normalize_text(text: Column, nfkc: bool = False) -> Column:
     if nfkc:
 
         @F.pandas_udf("string")
-        def folded(s: "pd.Series") -> "pd.Series":  # noqa: F821
+        def folded(s: pd.Series) -> pd.Series:
             return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFKC", x))
 
         source = folded(source)
