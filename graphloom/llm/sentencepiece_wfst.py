@@ -21,6 +21,7 @@ import re
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,7 +301,7 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", out_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one model file, whatever the input
 
     @F.pandas_udf("array<int>")
-    def ids(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def ids(texts: pd.Series) -> pd.Series:
         own = machine(shared.value)
         return texts.map(lambda x: None if x is None else np.frombuffer(own.encode_packed(x), dtype=np.int32))
 
@@ -313,7 +314,7 @@ def decode_tokens(docs: DataFrame, model: bytes, ids_col: str = "token_ids", out
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
-    def text(rows: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(rows: pd.Series) -> pd.Series:
         own = machine(shared.value)
         return rows.map(lambda x: None if x is None else own.decode(np.asarray(x).tolist()))
 

@@ -3,9 +3,7 @@
 Every record is a gzip member of its own. A reading task takes a byte range,
 looks for gzip's magic number, and accepts a candidate only if it inflates to
 a WARC header; it owns the records whose members start inside the range and
-reads on past the end to finish the last one. If a chain of members breaks
-before the range ends, its candidate was part of a payload: the chain is
-dropped and the search goes on behind the candidate.
+reads on past the end to finish the last one.
 """
 
 from __future__ import annotations
@@ -30,6 +28,12 @@ DIGEST_SCHEMA = "id long, no_id boolean, th long, n_bytes long, digest string, s
 FILE_SCHEMA = "path string, records long, bytes long"
 RECORD_SCHEMA = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 READ = 1 << 20
+#: Bytes past its range over which a task sees its chain of members hold.
+PROOF = 1 << 20
+
+
+class BrokenChain(Exception):
+    """Something else than a member follows a member."""
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -189,36 +193,53 @@ def _find(file, at: int, end: int) -> int | None:
     return None
 
 
+def _chain(file, at: int, until: int, length: int) -> list[int]:
+    """Starts of the members from ``at`` on, each right behind the one before, until ``until``."""
+    members = []
+    while at < until:
+        try:
+            _, after = _member(file, at, False)
+        except (ValueError, UnicodeDecodeError) as e:
+            if members:
+                raise BrokenChain(f"no member at {at}: {e}") from e
+            raise
+        members.append(at)
+        at = after
+        file.seek(at)
+        if at < length and file.read(len(MAGIC)) != MAGIC:
+            raise BrokenChain(f"no member at {at}")
+    return members
+
+
 def scan_range(file, start: int, end: int, length: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records whose members start in [start, end) of a file of ``length`` bytes.
 
-    A chain of members is walked once to prove that it reaches the range's end,
-    and once more to hand out one record at a time. A file whose own first
-    chain breaks, or a range with candidates of which none holds, is damaged.
+    The first candidate that inflates to a record starts a chain of members,
+    which must hold ``PROOF`` bytes past the range or to the file's end. If it
+    breaks, either the candidate was part of a payload or the file is damaged:
+    the members are then counted from the file's start, which tells one from
+    the other (ValueError). Records are handed out one at a time.
     """
-    at, tried = start, False
+    at, members = start, []
     while (at := _find(file, at, end)) is not None:
-        members, place = [], at
         try:
-            while place < end:
-                _, after = _member(file, place, False)
-                members.append(place)
-                place = after
-                file.seek(place)
-                if place < length and file.read(len(MAGIC)) != MAGIC:
-                    raise ValueError("the chain of members breaks")
+            members = _chain(file, at, min(length, end + PROOF), length)
+            break
+        except BrokenChain:
+            true = _chain(file, 0, end, length)
+            if at in true:
+                raise
+            members = [m for m in true if m >= start]
+            break
         except (ValueError, UnicodeDecodeError):
             if at == 0:
                 raise
-            tried, at = tried or bool(members), at + 1
-            continue
-        for place in members:
+            at += 1
+    for place in members:
+        if place < end:
             raw, _ = _member(file, place, True)
             fields, block = parse_head(raw)
             yield fields, raw[block : block + int(fields["content-length"])]
-        return
-    if tried:
-        raise ValueError(f"damaged between {start} and {end}")
 
 
 def _reader(batches):
