@@ -17,7 +17,7 @@ EXTENSIONS = ("", ".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".py", "/index.t
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of text files below ``root``: no large ones, none with a NUL byte, none in skipped folders."""
+    """(path, content) of text files below ``root``: no large or empty ones, none with a NUL byte, none in skipped folders."""
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).filter(F.col("length") < MOST_BYTES)
     tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "\\Q" + base + "\\E/*", "")

@@ -2,22 +2,28 @@
 
 Each round moves every node's links to the smallest neighbour, first for larger
 neighbours and then for smaller ones, until all links form stars. The number of
-rounds grows with the logarithm of the longest path. Nothing is collected but
-one checksum per round, and no neighbour list is ever built.
+rounds grows with the logarithm of the longest path. A round costs two
+exchanges; nothing is collected but one checksum, which the round's own job
+observes, and no neighbour list is ever built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 
 
 def _star(links: DataFrame) -> DataFrame:
-    """Links (u, v) seen from u: each neighbour v, and the least of u and its neighbours."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    """Links (u, v) seen from u, each once: the neighbour v, and the least of u and its neighbours.
+
+    Dealt by u once; the aggregate, the join and the removal of repeats keep to
+    that.
+    """
+    dealt = links.repartition("u").distinct()
+    least = dealt.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return dealt.join(least, "u")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -27,17 +33,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     links nothing). RuntimeError if ``rounds`` do not suffice.
     """
     clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    nodes = clean.select(F.col("u").alias("node")).union(clean.select("v")).distinct()
-    links = shared_checkpoint(clean.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    start = shared_checkpoint(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    nodes = start.select(F.col("u").alias("node")).union(start.filter("u <> v").select("v")).distinct()
+    links, before = start.filter("u <> v"), None
     for _ in range(rounds):
-        both = links.union(links.select("v", "u"))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _star(links.union(links.select("v", "u"))).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = _star(large)
-        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        links = shared_checkpoint(small)
-        after = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v")
+        seen = Observation()
+        # A star link may come from several tasks: xor would cancel, so repeats go first, where they meet.
+        settled = small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        links = shared_checkpoint(settled)
+        after = (seen.get["n"], seen.get["h"])
         if after == before:
-            return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         before = after
     raise RuntimeError("components did not settle")

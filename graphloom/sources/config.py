@@ -97,7 +97,7 @@ def profile_columns(content: Column) -> dict[str, Column]:
     return {
         "name": value("name"), "parent": value("parent"), "schema": F.coalesce(value("schema"), F.lit("system")), "vault_slug": value("vault_slug"),
         "slug_aliases": F.filter(F.transform(F.split(aliases, ","), lambda x: F.trim(F.translate(x, "\"'", ""))), lambda x: x != ""),
-        "description": F.trim(F.regexp_replace(text, r"(?s)^---\n.*?\n---", "")),
+        "description": F.regexp_replace(F.regexp_replace(text, r"(?s)^---\n.*?\n---", ""), r"^\s+|\s+$", ""),
     }
 
 

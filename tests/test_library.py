@@ -1,5 +1,6 @@
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def test_roles_and_symbols(spark):
 
 
 def test_code_index(spark, tmp_path):
-    tree = {"src/a/x.ts": "import y from './y'\nexport const X = 1", "src/a/y.ts": "import z from '../b/z.js'", "src/b/z.ts": "import w from '@/b/w'", "src/b/w.ts": "", "node_modules/q.ts": "", "bin.ts": "\x00", "R.md": "# Title\n## Two"}
+    tree = {"src/a/x.ts": "import y from './y'\nexport const X = 1", "src/a/y.ts": "import z from '../b/z.js'", "src/b/z.ts": "import w from '@/b/w'", "src/b/w.ts": "x", "node_modules/q.ts": "", "bin.ts": "\x00", "R.md": "# Title\n## Two"}
     for path, content in tree.items():
         place = tmp_path / path
         place.parent.mkdir(parents=True, exist_ok=True)
@@ -360,19 +361,22 @@ def test_streams(spark, tmp_path):
     spark.sql("select * from values (timestamp'2026-01-01 00:01:00', 'k', 1.0D), (timestamp'2026-01-01 00:09:00', 'k', 2.0D), (timestamp'2026-01-01 01:00:00', 'k', 3.0D) t(ts, key, value)").write.parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
-    q = state.tumbling(stream, "ts", "key", "value", "10 minutes", "5 minutes").writeStream.outputMode("complete").format("memory").queryName("tumbled").start()
-    q.processAllAvailable()
-    q.stop()
+    def run(writer):
+        query = writer.trigger(availableNow=True).start()
+        assert query.awaitTermination(90)
+
+    run(state.tumbling(stream, "ts", "key", "value", "10 minutes", "5 minutes").writeStream.outputMode("complete").format("memory").queryName("tumbled"))
     batch = state.tumbling(spark.read.parquet(src), "ts", "key", "value", "10 minutes")
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, batch.collect()))
     target = str(tmp_path / "merged")
-    q = stream.writeStream.foreachBatch(state.merge_latest(spark, target, "key", "ts")).start()
-    q.processAllAvailable()
-    q.stop()
+    run(stream.writeStream.foreachBatch(state.merge_latest(spark, target, "key", "ts")))
     assert [r.value for r in spark.read.parquet(f"{target}/v0").collect()] == [3.0]
-    q = state.counted_asks(stream, "key").writeStream.outputMode("update").format("memory").queryName("asked").start()
-    q.processAllAvailable()
-    q.stop()
+    # Timeouts by processing time keep a query going, so this one is stopped once it has answered.
+    asked = state.counted_asks(stream, "key").writeStream.outputMode("update").format("memory").queryName("asked").start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("asked").isEmpty():
+        time.sleep(0.5)
+    asked.stop()
     assert [tuple(r) for r in spark.table("asked").collect()] == [("k", 3)]
 
 
