@@ -69,8 +69,12 @@ def similar_decisions(branch: DataFrame, main: DataFrame, least: float = 0.82, k
 
 
 def lost_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """What either side has that the other lacks: columns plus side."""
-    return expected.exceptAll(actual).withColumn("side", F.lit("missing")).unionByName(actual.exceptAll(expected).withColumn("side", F.lit("extra")))
+    """What either side has that the other lacks, as often as it lacks it: columns plus side. One shuffle of both."""
+    names = expected.columns
+    both = expected.withColumn("_n", F.lit(1)).unionByName(actual.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*names).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "missing").otherwise("extra")
+    return left.select(*names, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def recall_loss(before: DataFrame, after: DataFrame) -> DataFrame:
