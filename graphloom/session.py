@@ -19,7 +19,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, whatever executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder, whatever executors are lost.
+
+    The shuffle files that led to it are removed at once: nothing reads them
+    again, and iterations would pile them up until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # planned anew, under this setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
