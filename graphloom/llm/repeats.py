@@ -16,7 +16,9 @@ has a qualifying equal elsewhere, without ever shuffling a row per window:
    representative of each is read again with its text. Spans are sorted by
    what follows the anchor and by what precedes it (reversed), the two suffix
    orders; common prefix lengths of neighbours then tell, for each distance
-   from the anchor, which windows are equal.
+   from the anchor, which windows are equal. An anchor of more than ``HOT``
+   rows would be too much for one task: the windows of its spans are counted by
+   hash instead, combined before the shuffle.
 4. *Cover.* Settled and extended windows meet their text once more.
 
 A text is matched by (id, hash of text), so that repeated ids do not mix.
@@ -39,9 +41,12 @@ from ._spark import shared_checkpoint
 PART = 1 << 21
 #: Bytes of span text that one extension step holds.
 CHUNK = 24 << 20
+#: Rows of an anchor beyond which its windows are dealt out one by one.
+HOT = 50_000
 
 ANCHOR_SCHEMA = "k long, sp long, id long, th long, da int, ln int, n int, at array<int>"
 SPAN_SCHEMA = "k long, sp long, id long, n long, da int, ln int, body binary"
+WINDOW_SCHEMA = "k long, sp long, id long, n long, off int, w long"
 RUN_SCHEMA = "k long, sp long, id long, runs array<struct<lo:int,hi:int>>"
 
 
@@ -235,6 +240,27 @@ def _extend(spec: Spec):
     return rows
 
 
+def _windows(spec: Spec):
+    """A hash of each window of each span."""
+
+    def rows(batches):
+        for batch in batches:
+            data, offsets = t.column_bytes(batch.column("body"))
+            fixed = [batch.column(c).to_numpy() for c in ("k", "sp", "id", "n")]
+            counts = batch.column("ln").to_numpy().astype(np.int64) + 1
+            hashes = []
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                raw = data[a:b]
+                x = spec.symbols(raw) if spec.item == 1 else np.frombuffer(raw.tobytes(), ">u8").astype(t.U64)
+                start = np.arange(len(x) - spec.width + 1)
+                hashes.append(t.span_hash(t.prefix_hash(x), start, start + spec.width))
+            if hashes:
+                offs = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(f, counts)) for f in fixed), pa.array(offs), pa.array(t.signed(np.concatenate(hashes)))], ["k", "sp", "id", "n", "off", "w"])
+
+    return rows
+
+
 def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     """(id, th, runs): windows with a qualifying equal, as inclusive ranges of starts.
 
@@ -250,24 +276,27 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
         .withColumn("all", F.sum("n").over(of_anchor))
         .withColumn("low", F.min("sp").over(of_anchor))
         .withColumn("high", F.max("sp").over(of_anchor))
+        .withColumn("hot", F.count("*").over(of_anchor) > HOT)
         .filter("all > 1")
     )
     if spec.first_wins:
         whole = F.col("first") < F.col("id")
     else:
         whole = F.col("copies") > 1
-    marked = marked.select("k", "sp", "id", "th", "da", "ln", "at", "copies", whole.alias("whole"), (F.col("low") != F.col("high")).alias("mixed")).filter("whole or mixed")
+    marked = marked.select("k", "sp", "id", "th", "da", "ln", "at", "copies", whole.alias("whole"), (F.col("low") != F.col("high")).alias("mixed"), "hot").filter("whole or mixed")
     marked = shared_checkpoint(marked)
     # One representative of each span where an anchor has several: the smallest id's.
-    asked = (
-        marked.filter("mixed")
-        .groupBy("k", "sp")
-        .agg(F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r"), F.max("copies").alias("n"))
-        .groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th"))
-        .agg(F.collect_list(F.struct("k", "sp", F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n")).alias("asked"))
-    )
-    spans = docs.select("id", "th", "text").join(asked, ["id", "th"]).select("id", "text", "asked").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
-    runs = spans.repartition("k").sortWithinPartitions("k", "sp").mapInArrow(_extend(spec), RUN_SCHEMA)
+    asked = marked.filter("mixed").groupBy("k", "sp").agg(F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r"), F.max("copies").alias("n"), F.max("hot").alias("hot"))
+
+    def spans(some: DataFrame) -> DataFrame:
+        listed = some.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("k", "sp", F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n")).alias("asked"))
+        return docs.select("id", "th", "text").join(listed, ["id", "th"]).select("id", "text", "asked").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
+
+    runs = spans(asked.filter("not hot")).repartition("k").sortWithinPartitions("k", "sp").mapInArrow(_extend(spec), RUN_SCHEMA)
+    windows = spans(asked.filter("hot")).dropDuplicates(["k", "sp"]).mapInArrow(_windows(spec), WINDOW_SCHEMA)
+    counts = windows.groupBy("w").agg(F.sum("n").alias("every"), F.min("id").alias("least"))
+    hit = windows.join(counts, "w").filter("least < id" if spec.first_wins else "every > 1")
+    runs = runs.unionByName(hit.groupBy("k", "sp", "id").agg(F.collect_list(F.struct(F.col("off").alias("lo"), F.col("off").alias("hi"))).alias("runs")))
     keys = ["k", "sp", "id"] if spec.first_wins else ["k", "sp"]
     partial = marked.filter("not whole and mixed").join(runs.select(*keys, "runs"), keys)
     moved = F.flatten(F.transform("at", lambda s: F.transform("runs", lambda r: F.struct((s + r.lo).alias("lo"), (s + r.hi).alias("hi")))))

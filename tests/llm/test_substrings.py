@@ -52,6 +52,15 @@ def test_words_match_brute_force(spark, corpus, width, gram):
     assert got(out, "n_words") == brute(rows, width, lambda x: tuple((x or "").encode().split()), lambda v: b" ".join(v), True)
 
 
+def test_hot_anchors_match_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rows = corpus[:60] + ODD
+    out = remove_later_passages(documents(spark, rows).repartition(5), width=10, gram=3)
+    assert got(out, "n_words") == brute(rows, 10, lambda x: tuple((x or "").encode().split()), lambda v: b" ".join(v), True)
+    out = remove_repeated_strings(documents(spark, rows).repartition(5), width=60, gram=16)
+    assert got(out, "n_bytes") == brute(rows, 60, lambda x: (x or "").encode(), bytes, False)
+
+
 def test_runs_of_one_byte(spark):
     rows = [(1, "a" * 500), (2, "b" * 39), (3, "c" * 40), (4, "ab" * 30), (5, "ab" * 30)]
     assert got(remove_repeated_strings(documents(spark, rows), width=40, gram=8), "n_bytes") == brute(rows, 40, lambda x: x.encode(), bytes, False)
