@@ -20,7 +20,12 @@ SKIPS = {
     "go-skip": r"\bt\.Skip(f|Now)?\s*\(", "rust-ignore": r"#\[ignore", "junit-disabled": r"@(Disabled|Ignore)\b", "rspec-pending": r"^\s*(pending|xit)\b", "node-skip": r"\bskip\s*:\s*true\b",
 }
 IMPORT_LINE = r"^\s*(import\b|from\s+\S+\s+import\b|(const|let|var)\s+.*=\s*require\(|use\s|#include|require\b|export\s+.*\bfrom\b)"
-MARKER = r"graphrag:(see|enforces)\s+([A-Za-z][A-Za-z0-9_]*:[A-Za-z0-9._-]+:[A-Za-z0-9._/-]+)"
+#: What a marker comment begins with: ``kg:see <id>`` or ``kg:enforces <id>``; a caller may use another word.
+NAMESPACE = "kg"
+
+
+def marker_pattern(namespace: str = NAMESPACE) -> str:
+    return rf"\b{namespace}:(see|enforces)\s+([A-Za-z][A-Za-z0-9_]*:[A-Za-z0-9._-]+:[A-Za-z0-9._/-]+)"
 
 
 def file_path(node_path: Column, node_id: Column) -> Column:
@@ -39,11 +44,12 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def marker_hits(files: DataFrame, kind: str | None = None) -> DataFrame:
+def marker_hits(files: DataFrame, kind: str | None = None, namespace: str = NAMESPACE) -> DataFrame:
     """(path, line_no, kind, target) of markers in other than Markdown files; quoted ones don't count."""
-    lines = file_lines(files.filter(~F.col("path").endswith(".md") & F.col("content").contains("graphrag:")))
+    lines = file_lines(files.filter(~F.col("path").endswith(".md") & F.col("content").contains(f"{namespace}:")))
+    pattern = F.lit(marker_pattern(namespace))
     bare = F.regexp_replace("line", "\"[^\"]*\"|'[^']*'|`[^`]*`", "")
-    found = lines.withColumn("bare", bare).select("path", "line_no", F.explode(F.arrays_zip(F.regexp_extract_all("bare", F.lit(MARKER), F.lit(1)).alias("kind"), F.regexp_extract_all("bare", F.lit(MARKER), F.lit(2)).alias("target"))).alias("m")).select("path", "line_no", "m.kind", "m.target")
+    found = lines.withColumn("bare", bare).select("path", "line_no", F.explode(F.arrays_zip(F.regexp_extract_all("bare", pattern, F.lit(1)).alias("kind"), F.regexp_extract_all("bare", pattern, F.lit(2)).alias("target"))).alias("m")).select("path", "line_no", "m.kind", "m.target")
     return found if kind is None else found.filter(F.col("kind") == kind)
 
 
@@ -61,7 +67,7 @@ def marker_findings(hits: DataFrame, graph: KnowledgeGraph, tombstones: DataFram
     )
 
 
-def constraint_findings(graph: KnowledgeGraph, files: DataFrame) -> DataFrame:
+def constraint_findings(graph: KnowledgeGraph, files: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """Whether each Constraint is enforced by a file (path, content) that exists, runs and says so."""
     nodes = with_columns(graph.nodes, path="string", enforcement="string", enforcement_reason="string")
     rules = nodes.filter("type = 'Constraint'").select("id", (F.coalesce("enforcement", F.lit("")) == "none").alias("none"), F.trim(F.coalesce("enforcement_reason", F.lit(""))).alias("reason"))
@@ -73,7 +79,7 @@ def constraint_findings(graph: KnowledgeGraph, files: DataFrame) -> DataFrame:
     read = own.join(there, "path")
     skip = F.coalesce(*(F.when(F.col("line").rlike(p), name) for name, p in SKIPS.items()))
     skipped = file_lines(read.select("path", "content").distinct()).withColumn("label", skip).filter("label is not null").groupBy("path").agg(F.min(F.struct("line_no", "label")).alias("first"), F.count("*").alias("n"))
-    hits = marker_hits(files, "enforces").select("path", "line_no", F.col("target").alias("id"))
+    hits = marker_hits(files, "enforces", namespace).select("path", "line_no", F.col("target").alias("id"))
     kinds = nodes.select("id", "type")
     known = hits.join(kinds, "id", "left")
     return report(

@@ -192,7 +192,7 @@ def test_constraints_and_markers(spark):
     )
     e = edges(spark, ("constraint:s:c", "enforced_by", "file:s:t/c.test.ts"), ("constraint:s:d", "enforced_by", "file:s:gone.ts"), ("decision:s:y", "refines", "decision:s:x"))
     files = spark.createDataFrame(
-        [("t/c.test.ts", "it.skip('x')\n// graphrag:enforces constraint:s:zz\n"), ("t/a.ts", "// graphrag:enforces constraint:s:a\n'graphrag:enforces constraint:s:q'\n// graphrag:see decision:s:x"), ("a.md", "graphrag:see decision:s:none")], "path string, content string"
+        [("t/c.test.ts", "it.skip('x')\n// kg:enforces constraint:s:zz\n"), ("t/a.ts", "// kg:enforces constraint:s:a\n'kg:enforces constraint:s:q'\n// kg:see decision:s:x"), ("a.md", "kg:see decision:s:none")], "path string, content string"
     )
     g = KnowledgeGraph(n, e)
     assert {r[0] for r in found(checks.constraint_findings(g, files))} == {"contradictory-enforcement", "unenforceable-no-reason", "unguarded", "enforcer-missing", "enforcer-skipped", "marker-missing", "orphan-marker", "unregistered-enforcer"}
