@@ -9,11 +9,21 @@ pair of similarity 0.75 meets in some table with probability 0.9995, and one of
 
 Documents with equal sets form a class first, and only its representative goes
 on. The members of a table's bucket are put in the order of how many others
-they meet over all tables. Each member is compared with the first ``hubs`` of
-its buckets and with its ``neighbours`` predecessors there, so that a bucket of
-n gives O(n) candidates. Copies of one original are often less alike than each
-is to the original; the original meets most and so leads their buckets. What a
-large bucket leaves out can still meet in another table.
+they meet over all tables. Each member is first compared with the first
+``hubs`` of its buckets and with its ``neighbours`` predecessors there. Copies
+of one original are often less alike than each is to the original; the original
+meets most and so leads their buckets, and most groups are linked by O(n)
+comparisons.
+
+A larger bucket whose members are then still in several components has pairs
+left that could link them. The members of all such buckets are joined once more
+by the prefixes of their shingle sets, rarest shingles first: sets of the asked
+similarity share a shingle of the prefixes, at places that leave room for the
+overlap their sizes need. What a template gives to all its pages is common and
+stays behind the prefixes, unless the template alone makes them similar enough.
+The join leaves out pairs inside one component and finds every other similar
+pair among them, so that of the pairs that meet in a table only those are lost
+whose minhashes agree too rarely (see ``agree``).
 """
 
 from __future__ import annotations
@@ -97,6 +107,44 @@ def _confirm(width: int, percent: int):
     return rows
 
 
+def _postings(width: int):
+    """A row per document and shingle."""
+
+    def rows(batches):
+        for batch in batches:
+            c = batch.column("row").to_numpy()
+            data, offsets = t.column_bytes(batch.column("text"))
+            sets = [_text_shingles(data[a:b], width) for a, b in zip(offsets, offsets[1:], strict=False)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, [len(x) for x in sets])), pa.array(t.signed(np.concatenate(sets)))], ["c", "token"])
+
+    return rows
+
+
+def _similar_prefixes(open_texts: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among ``open_texts`` (row, text), with every pair similar enough.
+
+    ``facts`` has c, n and comp. Of sets of x and y shingles, in one order of
+    all shingles, the first common one at places i and j (from 0) leaves room
+    for an overlap of min(x - i, y - j), and p (x + y) / (100 + p) is needed:
+    so y <= (x - i) (100 + p) / p - x, and the same from the other side.
+    """
+    tokens = shared_checkpoint(open_texts.mapInArrow(_postings(width), "c long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy("df", "token")) - 1
+    placed = tokens.join(common, "token").withColumn("i", place).join(facts, "c")
+    most = F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent - F.col("n") + 1e-6).cast("long")
+    post = placed.withColumn("most", most).filter(F.col("df") > 1).filter(F.col("most") * 100 >= F.col("n") * percent).select("token", "c", "n", "comp", "most")
+    post = shared_checkpoint(post)
+    # A token's largest component meets only the others, and nothing if there are none.
+    held = post.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = held.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("parts > 1").select("token", "main")
+    live = post.join(main, "token")
+    minor = live.filter("comp <> main").select("token", F.col("c").alias("l"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("most").alias("lm"))
+    met = minor.join(live, "token").filter("lc <> comp and ln <= most and n <= lm and (comp = main or l < c)")
+    return met.select(F.least("l", "c").alias("a"), F.greatest("l", "c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, side: int = 10, hubs: int = 2, neighbours: int = 2) -> DataFrame:
     """Components of texts linked by a Jaccard similarity of ``percent`` hundredths or more.
 
@@ -117,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets: one class, represented by its first row.
     same = sketches.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("c"))
     classed = sketches.filter("n > 0").select("row", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).select("row", "c")
-    nodes = sketches.join(same.select(F.col("c").alias("row")), "row").select(F.col("row").alias("c"), "n", "mins")
+    nodes = shared_checkpoint(sketches.join(same.select(F.col("c").alias("row")), "row").select(F.col("row").alias("c"), "n", "mins"))
 
     def half(first: int):
         return F.array(*(F.xxhash64(*(F.col("mins")[first + i * TUPLE + j] for j in range(TUPLE))) for i in range(side)))
@@ -131,18 +179,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.join(met, "c").select("c", others.alias("others")).select("c", F.explode(F.array_distinct("others")).alias("o")).filter("o is not null and o <> c").select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
     # Sizes, and agreement of the minhashes themselves: below 0.45 a true pair is out of reach by over 4 deviations.
     agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    sized = (
-        pairs.join(nodes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
-        .join(nodes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b", agree.alias("agree"))
-        .filter(F.col("agree") >= int(hashes * 0.45))
-    )
-    candidates = shared_checkpoint(sized)
-    wanted = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct().join(sketches.select("row", "id", "th"), "row")
-    read = shared_checkpoint(wanted.join(texts.select("id", "th", "text"), ["id", "th"]).select("row", "text").dropDuplicates(["row"]))
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def agreeing(some: DataFrame) -> DataFrame:
+        return shared_checkpoint(
+            some.join(nodes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
+            .join(nodes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b")
+            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .select("a", "b", agree.alias("agree"))
+            .filter(F.col("agree") >= int(hashes * 0.45))
+        )
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.join(sketches.select("row", "id", "th"), "row")
+        return shared_checkpoint(wanted.join(texts.select("id", "th", "text"), ["id", "th"]).select("row", "text").dropDuplicates(["row"]))
+
+    ends = lambda some: some.select(F.col("a").alias("row")).union(some.select("b")).distinct()
+    candidates = agreeing(pairs)
+    read = texts_of(ends(candidates))
+
+    def confirmed(some: DataFrame, read: DataFrame = read) -> DataFrame:
         left, right = read.select(F.col("row").alias("a"), F.col("text").alias("left")), read.select(F.col("row").alias("b"), F.col("text").alias("right"))
         joined = some.join(right, "b").join(left, "a").select("a", "b", "left", "right")
         return shared_checkpoint(joined.mapInArrow(_confirm(width, percent), "a long, b long"))
@@ -155,7 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rest = candidates.select("a", "b").join(likely, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    whole = connected_components(links.union(confirmed(rest)))
+    links = links.union(confirmed(rest))
+    # Buckets that the cut left incomplete, and whose members are still in several components.
+    parts = shared_checkpoint(connected_components(links))
+    facts = shared_checkpoint(nodes.select("c", "n").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp")))
+    cut = shared.filter(F.col("size") > hubs + neighbours + 1).join(facts.select("c", "comp"), "c")
+    mixed = cut.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+    open_rows = shared_checkpoint(cut.join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct())
+    open_texts = texts_of(open_rows)
+    late = agreeing(_similar_prefixes(open_texts, facts, width, percent)).select("a", "b")
+    whole = connected_components(links.union(confirmed(late, open_texts)))
     labelled = classed.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").select("row", F.coalesce("component", "c").alias("part"))
     final = sketches.select("row", "id", "no_id", "th", "n").join(labelled, "row", "left").select("row", "id", "no_id", "th", "n", F.coalesce("part", "row").alias("part"))
     first = final.groupBy("part").agg(F.min(F.struct("id", "row", "no_id")).alias("first"))

@@ -82,6 +82,16 @@ def test_large_group_of_near_copies(spark):
     assert tuple(found) == (1, 1)
 
 
+def test_pairs_inside_a_template(spark):
+    """Pages of one template, J 0.70 to each other, and 60 pairs of J 0.756 among them, each its own component."""
+    rows = []
+    for i in range(600):
+        twin = i // 2 if i < 120 else 1000 + i
+        rows.append((i, " ".join([*(f"t{k}" for k in range(164)), *(f"p{twin}_{k}" for k in range(7)), *(f"o{i}_{k}" for k in range(27))])))
+    found = near_duplicates(documents(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, found)) == [(i, i // 2 * 2 if i < 120 else i) for i in range(600)]
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert exact_duplicates(empty).count() == 0
