@@ -5,11 +5,15 @@ Pairs are only formed inside a type (an equi-join key), never by a cross join.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import shared_checkpoint
 
 
 def vector_pairs(rows: DataFrame, least: float, below: float | None = None, key: str = "type", id_col: str = "id") -> DataFrame:
@@ -69,18 +73,37 @@ def sampled_pairs(n: int, pairs: int = 400, seed: int = 0xC0FFEE) -> list[tuple[
         ends = []
         for _ in range(2):
             x = (1664525 * x + 1013904223) & 0xFFFFFFFF
-            ends.append((x >> 8) % n)
+            drawn = x >> 8
+            if n > 1 << 20:  # 24 bits would not reach all rows evenly
+                x = (1664525 * x + 1013904223) & 0xFFFFFFFF
+                drawn = drawn << 24 | x >> 8
+            ends.append(drawn % n)
         if ends[0] != ends[1]:
             out.append((ends[0], ends[1]))
     return out
 
 
-def noise_baseline(vectors: DataFrame, pairs: list[tuple[int, int]], id_col: str = "vec_id") -> DataFrame:
-    """median_cosine, p90_cosine and n over the given pairs of ids, a bounded sample."""
+def noise_baseline(vectors: DataFrame, pairs: int = 400, id_col: str = "vec_id") -> DataFrame:
+    """median_cosine, p90_cosine and n over a sample of ``pairs`` pairs of all rows with a vector.
+
+    Rows are numbered in the order of their ids, which are taken to be unique.
+    Only the parts' row counts are collected; the ids are sorted in parts.
+    """
     spark = vectors.sparkSession
-    asked = spark.createDataFrame(pairs, "a long, b long")
-    wanted = F.broadcast(asked.select(F.col("a").alias("i")).union(asked.select("b")).distinct())
-    some = vectors.join(wanted, F.col(id_col) == F.col("i")).select("i", "vector")
-    left, right = some.select(F.col("i").alias("a"), F.col("vector").alias("va")), some.select(F.col("i").alias("b"), F.col("vector").alias("vb"))
+    usable = vectors.filter(F.col(id_col).isNotNull() & (F.size("vector") > 0)).select(F.col(id_col).alias("i"), "vector")
+    # A place is the part's number, shifted by 33 bits, and the row's number in it.
+    placed = shared_checkpoint(usable.select("i").repartitionByRange("i").sortWithinPartitions("i").withColumn("place", F.monotonically_increasing_id()))
+    parts = sorted(placed.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
+    ends = list(accumulate(k for _, k in parts))
+
+    def place(index: int) -> int:
+        at = bisect_right(ends, index)
+        return (parts[at][0] << 33) + index - (ends[at - 1] if at else 0)
+
+    drawn = sampled_pairs(ends[-1] if ends else 0, pairs)
+    asked = spark.createDataFrame([(place(a), place(b)) for a, b in drawn], "a long, b long")
+    wanted = F.broadcast(asked.select(F.col("a").alias("place")).union(asked.select("b")).distinct())
+    some = usable.join(F.broadcast(placed.join(wanted, "place")), "i").select("place", "vector")
+    left, right = some.select(F.col("place").alias("a"), F.col("vector").alias("va")), some.select(F.col("place").alias("b"), F.col("vector").alias("vb"))
     cosines = F.broadcast(asked).join(left, "a").join(right, "b").select(F.round(vx.cosine(F.col("va"), F.col("vb")), 6).alias("c"))
     return nearest_rank(cosines, "c", {"median_cosine": 0.5, "p90_cosine": 0.9})

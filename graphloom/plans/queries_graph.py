@@ -282,6 +282,7 @@ def binding_topn(spark, sf_dir):
     return sim.top_matches(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "label", 0.30, 5)
 
 
+#: The SQL's pairs: those of a table of 500 rows with ids from 0 on, as sf0.001 and sf0.01 have. The query draws over the rows present.
 _PAIRS = sim.sampled_pairs(500)
 
 
@@ -291,4 +292,4 @@ _PAIRS = sim.sampled_pairs(500)
     SELECT v[1 + least(len(v) - 1, floor(len(v) * 0.5)::INT)] AS median_cosine, v[1 + least(len(v) - 1, floor(len(v) * 0.9)::INT)] AS p90_cosine, len(v)::BIGINT AS n FROM c
 """)
 def noise_baseline(spark, sf_dir):
-    return sim.noise_baseline(vectors(spark, sf_dir), _PAIRS)
+    return sim.noise_baseline(vectors(spark, sf_dir))
