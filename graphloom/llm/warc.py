@@ -157,8 +157,8 @@ def _member(file, at: int, keep: bool) -> tuple[bytes, int]:
                 raise ValueError(str(e)) from e
             raw = engine.unconsumed_tail
             total += len(out)
-            if len(head) < 1 << 16:
-                head += out[: 1 << 16]
+            if b"\r\n\r\n" not in head:
+                head += out
                 if not head.startswith(b"WARC/1.") and not b"WARC/1.".startswith(head):
                     raise ValueError("no WARC header")
             if keep:
