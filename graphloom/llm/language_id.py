@@ -28,11 +28,11 @@ _vectors: np.ndarray | None = None
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the first two planes a letter code (0 is a gap), and the letters' vectors."""
+    """For each code point of the first four planes (no letters lie above) a letter code (0 is a gap), and the letters' vectors."""
     global _code, _vectors
     if _code is None:
-        points = np.zeros(0x20000, dtype=np.int64)
-        for p in range(0x20000):
+        points = np.zeros(0x40000, dtype=np.int64)
+        for p in range(0x40000):
             c = chr(p)
             if c.isalpha():
                 low = c.lower()
