@@ -7,27 +7,33 @@ minhashes that independent tables would take. With tuples of 2 and a side of 10,
 pair of similarity 0.75 meets in some table with probability 0.9995, and one of
 0.8 with 0.99996. Candidates are confirmed on the full shingle sets.
 
-Documents with equal sets form a class first, and only its representative goes
-on. The members of a table's bucket are put in the order of how many others
-they meet over all tables. Each member is first compared with the first
-``hubs`` of its buckets and with its ``neighbours`` predecessors there. Copies
-of one original are often less alike than each is to the original; the original
-meets most and so leads their buckets, and most groups are linked by O(n)
-comparisons.
-
-A larger bucket whose members are then still in several components has pairs
-left that could link them. The members of all such buckets are joined once more
-by the prefixes of their shingle sets, rarest shingles first: sets of the asked
-similarity share a shingle of the prefixes, at places that leave room for the
-overlap their sizes need. What a template gives to all its pages is common and
-stays behind the prefixes, unless the template alone makes them similar enough.
-The join leaves out pairs inside one component and finds every other similar
-pair among them, so that of the pairs that meet in a table only those are lost
-whose minhashes agree too rarely (see ``agree``).
+1. *Classes.* Documents with equal sets, told by the SHA-256 of the sorted set,
+   form a class, and only its representative goes on.
+2. *Tables.* A document enters a table only if it shares both of its tuples
+   with others, so that tuples are counted first, ``2 * side`` rows a document
+   instead of ``side`` squared.
+3. *Buckets.* All members of a small bucket are compared. In a larger one each
+   member is compared with the bucket's lead (the document that shares most
+   tuples) and with the lead of those that also share the next tuple: copies of
+   one original are often less alike than each is to the original. Buckets are
+   never gathered; leads come from aggregates that combine before the shuffle.
+4. *The rest, exactly.* A larger bucket whose members are then still in several
+   components has pairs left that could link them. The members of all such
+   buckets are joined by the prefixes of their shingle sets, rarest shingles
+   first: sets of the asked similarity share a shingle of the prefixes, at
+   places that leave room for the overlap their sizes need. What a template
+   gives to all its pages is common and stays behind the prefixes, unless the
+   template alone makes them similar enough. The join leaves out pairs inside
+   one component and finds every other similar pair among them.
+
+A candidate whose minhashes agree in under two fifths is left out: at a
+similarity of 0.75 that befalls fewer than one pair in a million.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +44,13 @@ from . import _text as t
 from ._spark import shared_checkpoint
 
 TUPLE = 2
-SKETCH_SCHEMA = "id long, no_id boolean, th long, n long, s1 long, s2 long, mins array<int>"
+#: Buckets up to this many members are compared pair by pair.
+SMALL = 6
+#: Least share of a pair's minhashes that must agree before its sets are read.
+LEAST_AGREEMENT = 0.4
+#: Partners that one copy of a document's text is sent for.
+FAN = 512
+SKETCH_SCHEMA = "id long, no_id boolean, th long, n long, digest binary, mins array<int>"
 
 _WORD_CODES = np.random.default_rng(4001).integers(1, 2**63, 64, dtype=np.int64).astype(t.U64) * t.U64(2) + t.U64(1)
 
@@ -68,7 +80,6 @@ def _sketches(width: int, hashes: int):
             sets = [_text_shingles(data[a:b], width) for a, b in zip(offsets, offsets[1:], strict=False)]
             n = np.array([len(x) for x in sets], dtype=np.int64)
             mins = np.zeros((len(sets), hashes), dtype=np.int32)
-            sums = np.zeros((2, len(sets)), dtype=t.U64)
             live = np.flatnonzero(n)
             for first in range(0, len(live), 64):
                 own = live[first : first + 64]
@@ -77,36 +88,56 @@ def _sketches(width: int, hashes: int):
                 for h in range(hashes):
                     least = np.minimum.reduceat((every ^ plus[h]) * times[h], starts)
                     mins[own, h] = (t.mix(least) & t.U64(0x7FFFFFFF)).astype(np.int32)
-                sums[0, own] = np.add.reduceat(t.mix(every ^ t.U64(0x5851F42D4C957F2D)), starts)
-                sums[1, own] = np.add.reduceat(t.mix(every ^ t.U64(0x14057B7EF767814F)), starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("no_id"), batch.column("th"), pa.array(n), pa.array(t.signed(sums[0])), pa.array(t.signed(sums[1])), t.list_array(mins.ravel(), np.full(len(sets), hashes), pa.int32())],
-                ["id", "no_id", "th", "n", "s1", "s2", "mins"],
+                [batch.column("id"), batch.column("no_id"), batch.column("th"), pa.array(n), pa.array([hashlib.sha256(x.tobytes()).digest() for x in sets], pa.binary()), t.list_array(mins.ravel(), np.full(len(sets), hashes), pa.int32())],
+                ["id", "no_id", "th", "n", "digest", "mins"],
             )
 
     return rows
 
 
 def _confirm(width: int, percent: int):
-    """Of pairs with both texts, those whose sets are similar enough."""
+    """Of rows sorted by (lead, part), the lead's own row (``other`` null) first: the pairs similar enough."""
 
     def rows(batches):
-        last: tuple[int, np.ndarray] | None = None
+        held, near = None, np.zeros(0, t.U64)
         for batch in batches:
-            (left, lo), (right, ro) = t.column_bytes(batch.column("left")), t.column_bytes(batch.column("right"))
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            good = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                if last is None or last[0] != a[i]:
-                    last = (a[i], _text_shingles(left[lo[i] : lo[i + 1]], width))
-                x, y = last[1], _text_shingles(right[ro[i] : ro[i + 1]], width)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+            data, offsets = t.column_bytes(batch.column("text"))
+            leads, others = batch.column("lead").to_numpy(), batch.column("other")
+            own, other = others.is_null().to_numpy(zero_copy_only=False), others.fill_null(0).to_numpy()
+            good = np.zeros(len(leads), dtype=bool)
+            for i in range(len(leads)):
+                x = _text_shingles(data[offsets[i] : offsets[i + 1]], width)
+                if own[i]:
+                    held, near = leads[i], x
+                    continue
+                if held != leads[i]:
+                    raise ValueError("a lead's text is missing")
+                both = len(x) + len(near) - len(np.union1d(x, near))
+                good[i] = both > 0 and 100 * both >= percent * (len(x) + len(near) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(leads, other)[good]), pa.array(np.maximum(leads, other)[good])], ["a", "b"])
 
     return rows
 
 
+def _confirmed(some: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``some`` whose whole sets are similar enough; ``read`` has their texts.
+
+    The end with more partners leads. Its text goes out once per ``FAN``
+    partners, and theirs once per pair, so that no task depends on a lead.
+    """
+    both = some.select(F.col("a").alias("lead"), F.col("b").alias("other")).union(some.select("b", "a"))
+    degree = shared_checkpoint(both.groupBy("lead").agg(F.count("*").alias("k")))
+    sized = some.join(degree.select(F.col("lead").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("lead").alias("b"), F.col("k").alias("kb")), "b")
+    first = F.struct("ka", "a") > F.struct("kb", "b")
+    dealt = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("ka", "kb").alias("k"))
+    dealt = shared_checkpoint(dealt.select("lead", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / FAN)).alias("part")))
+    own = dealt.select("lead", "part").distinct().join(read.withColumnRenamed("row", "lead"), "lead").select("lead", "part", F.lit(None).cast("long").alias("other"), "text")
+    theirs = dealt.join(read.withColumnRenamed("row", "other"), "other").select("lead", "part", "other", "text")
+    met = own.union(theirs).repartition("lead", "part").sortWithinPartitions("lead", "part", F.asc_nulls_first("other"))
+    return shared_checkpoint(met.mapInArrow(_confirm(width, percent), "a long, b long"))
+
+
 def _postings(width: int):
     """A row per document and shingle."""
 
@@ -145,7 +176,7 @@ def _similar_prefixes(open_texts: DataFrame, facts: DataFrame, width: int, perce
     return met.select(F.least("l", "c").alias("a"), F.greatest("l", "c").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, side: int = 10, hubs: int = 2, neighbours: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, side: int = 10) -> DataFrame:
     """Components of texts linked by a Jaccard similarity of ``percent`` hundredths or more.
 
     Words are runs without ASCII white space, A-Z lower-cased. Returns a row per
@@ -153,31 +184,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept (one row per component), and th (Spark's xxhash64 of the text).
 
     A text of fewer than ``width`` words is one shingle of them all. Texts
-    without words, and nulls, are linked with nothing and kept. Of rows that
-    repeat the smallest id the first in scan order is kept. A null id counts
-    below all others and comes back as null. An empty table gives an empty
-    result.
+    without words, and nulls, are linked with nothing and kept. A very long
+    text is hashed in segments, and a task holds two sets of shingles at a
+    time. Of rows that repeat the smallest id the first in scan order is kept.
+    A null id counts below all others and comes back as null. An empty table
+    gives an empty result; other columns are not looked at.
     """
     t.limit_arrow_batches(docs.sparkSession)
     hashes = 2 * side * TUPLE
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sketches = shared_checkpoint(texts.mapInArrow(_sketches(width, hashes), SKETCH_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     # Equal sets: one class, represented by its first row.
-    same = sketches.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("c"))
-    classed = sketches.filter("n > 0").select("row", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).select("row", "c")
+    same = shared_checkpoint(sketches.filter("n > 0").groupBy("digest").agg(F.min("row").alias("c")))
+    classed = sketches.filter("n > 0").select("row", "digest").join(same, "digest").select("row", "c")
     nodes = shared_checkpoint(sketches.join(same.select(F.col("c").alias("row")), "row").select(F.col("row").alias("c"), "n", "mins"))
-
-    def half(first: int):
-        return F.array(*(F.xxhash64(*(F.col("mins")[first + i * TUPLE + j] for j in range(TUPLE))) for i in range(side)))
-
-    tables = nodes.select("c", F.posexplode(half(0)).alias("i", "x"), half(side * TUPLE).alias("ys")).select("c", "i", "x", F.posexplode("ys").alias("j", "y"))
-    tables = tables.select("c", F.xxhash64("i", "j", "x", "y").alias("key"))
-    shared = shared_checkpoint(tables.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1"))
-    met = shared.groupBy("c").agg(F.sum("size").alias("met"))
-    order = Window.partitionBy("key").orderBy(F.desc("met"), "c")
-    others = F.array(*(F.nth_value("c", k).over(order) for k in range(1, hubs + 1)), *(F.lag("c", k).over(order) for k in range(1, neighbours + 1)))
-    pairs = shared.join(met, "c").select("c", others.alias("others")).select("c", F.explode(F.array_distinct("others")).alias("o")).filter("o is not null and o <> c").select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    # Sizes, and agreement of the minhashes themselves: below 0.45 a true pair is out of reach by over 4 deviations.
+    # Tuples, and how many share each.
+    tuples = F.array(*(F.xxhash64(F.lit(k), *(F.col("mins")[k * TUPLE + j] for j in range(TUPLE))) for k in range(2 * side)))
+    held = nodes.select("c", F.posexplode(tuples).alias("slot", "x"))
+    common = shared_checkpoint(held.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1"))
+    shared = held.join(common, "x").groupBy("c").agg(F.sum("k").alias("met"), F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
+    crossed = shared.select("c", "met", "m", F.explode(F.map_keys("m")).alias("i")).filter(F.col("i") < side).select("c", "met", "m", "i", F.explode(F.map_keys("m")).alias("j")).filter(F.col("j") >= side)
+    beside = F.coalesce(F.try_element_at("m", (F.col("i") + 1) % side), F.col("c"))
+    tables = shared_checkpoint(crossed.select("c", "met", F.xxhash64(F.col("m")[F.col("i")], F.col("m")[F.col("j")]).alias("key"), beside.alias("beside")))
+    lead = F.min(F.struct((-F.col("met")).alias("order"), "c"))["c"].alias("lead")
+    buckets = shared_checkpoint(tables.groupBy("key").agg(F.count("*").alias("size"), lead).filter("size > 1"))
+    live = tables.join(buckets, "key")
+    large = live.filter(F.col("size") > SMALL)
+    inner = shared_checkpoint(large.groupBy("key", "beside").agg(F.count("*").alias("k"), lead).filter("k > 1").drop("k"))
+    members = live.filter(F.col("size").between(3, SMALL)).groupBy("key").agg(F.collect_list("c").alias("cs"))
+    every = members.select(F.explode("cs").alias("c"), F.col("cs").alias("others")).select("c", F.explode("others").alias("lead")).filter("c < lead")
+    met = live.select("c", "lead").union(large.drop("lead").join(inner, ["key", "beside"]).select("c", "lead")).filter("c <> lead").union(every)
+    pairs = met.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
     agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
     def agreeing(some: DataFrame) -> DataFrame:
@@ -186,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(nodes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b")
             .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
             .select("a", "b", agree.alias("agree"))
-            .filter(F.col("agree") >= int(hashes * 0.45))
+            .filter(F.col("agree") >= int(hashes * LEAST_AGREEMENT))
         )
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -196,33 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = lambda some: some.select(F.col("a").alias("row")).union(some.select("b")).distinct()
     candidates = agreeing(pairs)
     read = texts_of(ends(candidates))
-
-    def confirmed(some: DataFrame, read: DataFrame = read) -> DataFrame:
-        left, right = read.select(F.col("row").alias("a"), F.col("text").alias("left")), read.select(F.col("row").alias("b"), F.col("text").alias("right"))
-        joined = some.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return shared_checkpoint(joined.mapInArrow(_confirm(width, percent), "a long, b long"))
-
     # Each document's likeliest partner first; then only what joins two components.
     seen = candidates.select(F.col("a").alias("c"), F.col("b").alias("o"), "agree").union(candidates.select("b", "a", "agree"))
     likely = seen.groupBy("c").agg(F.max_by("o", F.struct("agree", -F.col("o"))).alias("o")).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    links = confirmed(likely)
+    likely = shared_checkpoint(likely)
+    links = _confirmed(likely, read, width, percent)
     parts = shared_checkpoint(connected_components(links))
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rest = candidates.select("a", "b").join(likely, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = links.union(confirmed(rest))
-    # Buckets that the cut left incomplete, and whose members are still in several components.
+    rest = shared_checkpoint(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    links = links.union(_confirmed(rest, read, width, percent))
+    # Larger buckets whose members are still in several components.
     parts = shared_checkpoint(connected_components(links))
     facts = shared_checkpoint(nodes.select("c", "n").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp")))
-    cut = shared.filter(F.col("size") > hubs + neighbours + 1).join(facts.select("c", "comp"), "c")
-    mixed = cut.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
-    open_rows = shared_checkpoint(cut.join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct())
-    open_texts = texts_of(open_rows)
+    placed = large.select("key", "c").join(facts.select("c", "comp"), "c")
+    mixed = shared_checkpoint(placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key"))
+    open_texts = texts_of(large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct())
     late = agreeing(_similar_prefixes(open_texts, facts, width, percent)).select("a", "b")
-    whole = connected_components(links.union(confirmed(late, open_texts)))
+    whole = connected_components(links.union(_confirmed(late, open_texts, width, percent)))
     labelled = classed.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").select("row", F.coalesce("component", "c").alias("part"))
     final = sketches.select("row", "id", "no_id", "th", "n").join(labelled, "row", "left").select("row", "id", "no_id", "th", "n", F.coalesce("part", "row").alias("part"))
-    first = final.groupBy("part").agg(F.min(F.struct("id", "row", "no_id")).alias("first"))
+    first = shared_checkpoint(final.groupBy("part").agg(F.min(F.struct("id", "row", "no_id")).alias("first")))
     return final.join(first, "part").select(
         F.when(~F.col("no_id"), F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -92,6 +92,17 @@ def test_pairs_inside_a_template(spark):
     assert sorted(map(tuple, found)) == [(i, i // 2 * 2 if i < 120 else i) for i in range(600)]
 
 
+def test_pairs_just_over_the_threshold_among_pages_just_under(spark):
+    """400 pages, all pairs of J 0.733 but 200 planted ones of 0.765: exactly those are links."""
+    rows = []
+    for i in range(400):
+        rows.append((i, " ".join([*(f"t{k}" for k in range(163)), *(f"p{i // 2}_{k}" for k in range(4)), *(f"o{i}_{k}" for k in range(25))])))
+    want, parts = brute_components(rows[:40])
+    assert parts == 20
+    found = near_duplicates(documents(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, found)) == [(i, i // 2 * 2) for i in range(400)]
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert exact_duplicates(empty).count() == 0
