@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shared_checkpoint
 
-__all__ = ["checkpoint_dir", "drop_rows", "keep_rows", "shared_checkpoint"]
+__all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "keep_rows", "shared_checkpoint"]
 
 #: Names no input is expected to have.
 _ID, _TH = "_graphloom_id", "_graphloom_th"
@@ -30,3 +30,9 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
 def drop_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text are among ``chosen``."""
     return _matched(docs, chosen, id_col, text_col, "left_anti").select(*docs.columns)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system, whichever Hadoop reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import drop_folder, shared_checkpoint
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .language_id import identify_languages, train_prototypes
@@ -86,7 +87,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(name: str):
         return F.expr(f"try_cast(substring_index({name}, ':', -1) AS BIGINT)")
 
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    out = shared_checkpoint(records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
+    drop_folder(spark, folder)
+    return out
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,11 @@ Every record is a gzip member of its own. A reading task takes a byte range,
 looks for gzip's magic number, and accepts a candidate only if it inflates to
 a WARC header; it owns the records whose members start inside the range and
 reads on past the end to finish the last one.
+
+A range follows its chain of members up to and with the first one that starts
+behind its end. So each member is decoded by the range that owns it and, if it
+is a range's first, by the range before as well: a member that is cut off,
+corrupt or hidden fails one of the two, wherever the splits are.
 """
 
 from __future__ import annotations
@@ -15,21 +20,24 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import checkpoint_dir
+from ._spark import checkpoint_dir, shared_checkpoint
 
 MAGIC = b"\x1f\x8b\x08"
 DIGEST_SCHEMA = "id long, no_id boolean, th long, n_bytes long, digest string, same binary"
 FILE_SCHEMA = "path string, records long, bytes long"
 RECORD_SCHEMA = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 READ = 1 << 20
-#: Bytes past its range over which a task sees its chain of members hold.
-PROOF = 1 << 20
+#: Bytes past its range over which a task sees its chain of members hold. A
+#: payload shows members of its own only in stored blocks of deflate, which hold
+#: 65,535 bytes at most; no chain inside a payload is longer.
+PROOF = 1 << 17
 
 
 class BrokenChain(Exception):
@@ -121,13 +129,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_c
     with the smallest id is a response and the others revisit it. Payload
     equality is by SHA-256; rows repeating the smallest id are all responses.
     Null payload is empty; a null id counts below all others and is written as
-    ``urn:page:null``; line breaks in a url become spaces.
+    ``urn:page:null``; line breaks in a url become spaces. An id that stands
+    with different payloads has a record for each. A payload of any size is one
+    member, which its task holds whole.
     """
     t.limit_arrow_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("th", F.xxhash64("payload"))
-    digests = rows.select("id", "no_id", "th", "payload").mapInArrow(_digests, DIGEST_SCHEMA)
-    firsts = digests.groupBy("same").agg(F.min(F.struct("id", "no_id")).alias("first"))
+    digests = shared_checkpoint(rows.select("id", "no_id", "th", "payload").mapInArrow(_digests, DIGEST_SCHEMA))
+    firsts = shared_checkpoint(digests.groupBy("same").agg(F.min(F.struct("id", "no_id")).alias("first")))  # a table of its own: the join may then split a common payload's rows
     roles = digests.join(firsts, "same").groupBy("id", "th").agg(*(F.first(c).alias(c) for c in ("n_bytes", "digest", "first")))
     name = F.concat(F.lit("urn:page:"), F.when(F.col("no_id"), "null").otherwise(F.col("id").cast("string")))
     first = F.concat(F.lit("urn:page:"), F.when(F.col("first.no_id"), "null").otherwise(F.col("first.id").cast("string")))
@@ -193,75 +203,89 @@ def _find(file, at: int, end: int) -> int | None:
     return None
 
 
-def _chain(file, at: int, until: int, length: int) -> list[int]:
-    """Starts of the members from ``at`` on, each right behind the one before, until ``until``."""
-    members = []
-    while at < until:
+def _chain(file, at: int, end: int, length: int) -> list[int]:
+    """Starts before ``end`` of the members from ``at`` on, each right behind the one before.
+
+    The chain must hold for ``PROOF`` bytes more, and its first member from
+    ``end`` on must be whole, unless the file ends before.
+    """
+    members, first, beyond = [], True, False
+    while at < length and not (beyond and at >= end + PROOF):
         try:
             _, after = _member(file, at, False)
         except (ValueError, UnicodeDecodeError) as e:
-            if members:
-                raise BrokenChain(f"no member at {at}: {e}") from e
-            raise
-        members.append(at)
+            if first:
+                raise
+            raise BrokenChain(f"no member at {at}: {e}") from e
+        if at < end:
+            members.append(at)
+        first, beyond = False, at >= end
         at = after
-        file.seek(at)
-        if at < length and file.read(len(MAGIC)) != MAGIC:
-            raise BrokenChain(f"no member at {at}")
     return members
 
 
 def scan_range(file, start: int, end: int, length: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records whose members start in [start, end) of a file of ``length`` bytes.
 
-    The first candidate that inflates to a record starts a chain of members,
-    which must hold ``PROOF`` bytes past the range or to the file's end. If it
-    breaks, either the candidate was part of a payload or the file is damaged:
-    the members are then counted from the file's start, which tells one from
-    the other (ValueError). Records are handed out one at a time.
+    The first candidate that inflates to a record starts a chain of members. If
+    it breaks, either the candidate was part of a payload or the file is
+    damaged: the members are then counted from the file's start, which tells
+    one from the other (ValueError). A candidate that is no whole record is
+    passed over: if it is a damaged member, the range before finds that out.
+    Records are handed out one at a time.
     """
     at, members = start, []
-    while (at := _find(file, at, end)) is not None:
+    while (at := _find(file, at, end)) is not None or start == 0:
         try:
-            members = _chain(file, at, min(length, end + PROOF), length)
+            members = _chain(file, 0 if start == 0 else at, end, length)
             break
         except BrokenChain:
-            true = _chain(file, 0, end, length)
-            if at in true:
+            if start == 0:
                 raise
-            members = [m for m in true if m >= start]
+            members = [m for m in _chain(file, 0, end, length) if m >= start]
             break
         except (ValueError, UnicodeDecodeError):
-            if at == 0:
+            if start == 0:
                 raise
             at += 1
     for place in members:
-        if place < end:
-            raw, _ = _member(file, place, True)
-            fields, block = parse_head(raw)
-            yield fields, raw[block : block + int(fields["content-length"])]
+        raw, _ = _member(file, place, True)
+        fields, block = parse_head(raw)
+        yield fields, raw[block : block + int(fields["content-length"])]
 
 
-def _reader(batches):
-    for batch in batches:
-        for path, start, end, length in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "length")), strict=True):
-            out: list[tuple] = []
-            held = 0
-            with _open(path) as file:
-                for fields, payload in scan_range(file, start, end, length):
-                    kind = fields.get("warc-type", "")
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "response" and sha1_base32(payload) != digest:
-                        raise ValueError(f"damaged payload in {path}: {fields.get('warc-record-id')}")
-                    refers = fields.get("warc-refers-to")
-                    size = len(payload) if kind == "response" else int(fields.get("x-payload-length", 0))
-                    out.append((fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri"), kind, refers and refers.strip("<>"), size, digest, payload))
-                    held += len(payload) + 256
-                    if held > 4 << 20:
-                        yield _record_batch(out)
-                        out, held = [], 0
-            if out:
+def _ranges(paths: list[str], lengths: np.ndarray, counts: np.ndarray, split: int):
+    """The reader of numbered ranges: number n is a place among all files' ranges laid end to end."""
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+
+    def rows(batches):
+        for batch in batches:
+            for n in batch.column("id").to_pylist():
+                k = int(np.searchsorted(firsts, n, side="right")) - 1
+                start = (n - int(firsts[k])) * split
+                yield from _read_range(paths[k], start, min(start + split, int(lengths[k])), int(lengths[k]))
+
+    return rows
+
+
+def _read_range(path: str, start: int, end: int, length: int) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    held = 0
+    with _open(path) as file:
+        for fields, payload in scan_range(file, start, end, length):
+            kind = fields.get("warc-type", "")
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+            if kind == "response" and sha1_base32(payload) != digest:
+                raise ValueError(f"damaged payload in {path}: {fields.get('warc-record-id')}")
+            refers = fields.get("warc-refers-to")
+            size = len(payload) if kind == "response" else int(fields.get("x-payload-length", 0))
+            out.append((fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri"), kind, refers and refers.strip("<>"), size, digest, payload))
+            held += len(payload) + 256
+            if held > 4 << 20:
                 yield _record_batch(out)
+                out, held = [], 0
+    if out:
+        yield _record_batch(out)
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -270,17 +294,22 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
-def read_warc(spark: SparkSession, folder: str, split_bytes: int = 8 << 20) -> DataFrame:
-    """Records of all ``*.warc.gz`` files in ``folder``, one task per ``split_bytes``.
+def read_warc(spark: SparkSession, folder: str, split_bytes: int | None = None) -> DataFrame:
+    """Records of all ``*.warc.gz`` files in ``folder``, one task per range of ``split_bytes``.
 
-    Returns record_id, url, record_type, refers_to, payload_bytes and
-    payload_digest (of the full payload) and payload (empty for revisits). A
-    response whose payload doesn't have its digest fails the read.
+    The default is the session's spark.sql.files.maxPartitionBytes. Returns
+    record_id, url, record_type, refers_to, payload_bytes and payload_digest
+    (of the full payload) and payload (empty for revisits). A response whose
+    payload doesn't have its digest fails the read, as does any other damage.
+    A folder without files is an empty table. What reaches the driver is the
+    list of files.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").filter("length > 0")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + split_bytes, "length"))
-    return ranges.repartition("path", "start").select("path", "start", "end", "length").mapInArrow(_reader, RECORD_SCHEMA)
+    split = split_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").filter("length > 0").orderBy("path").collect()
+    lengths = np.array([r.length for r in files], dtype=np.int64)
+    counts = -(-lengths // split)
+    tasks = int(counts.sum())
+    return spark.range(0, tasks, 1, max(tasks, 1)).mapInArrow(_ranges([r.path for r in files], lengths, counts, split), RECORD_SCHEMA)
 
 
 def scratch_folder(spark: SparkSession) -> str:

@@ -1,4 +1,6 @@
+import gzip
 import io
+import random
 import re
 
 import pytest
@@ -80,12 +82,76 @@ def test_members_inside_payloads_are_not_records():
         assert names == ["<urn:page:0>", "<urn:page:1>", "<urn:page:2>"]
 
 
-def test_damage_is_not_passed_over():
-    raw = bytearray(b"".join(warc.record(f"urn:page:{k}", "u", "response", b"p" * 40, warc.sha1_base32(b"p" * 40), 40, None) for k in range(5)))
-    raw[len(raw) // 2 : len(raw) // 2 + 60] = b"x" * 60
-    with pytest.raises((ValueError, warc.BrokenChain)):
-        for at in range(0, len(raw), 64):
-            list(warc.scan_range(io.BytesIO(bytes(raw)), at, min(at + 64, len(raw)), len(raw)))
+def plain_records(raw):
+    """Every record of an archive, read front to back with Python's gzip and string methods alone."""
+    text, out = gzip.decompress(raw), []
+    while text:
+        head, _, rest = text.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        n = int(fields["Content-Length"])
+        out.append((fields["WARC-Record-ID"], fields["WARC-Type"], rest[:n]))
+        text = rest[n + 4 :]
+    return out
+
+
+def read_all(raw, step):
+    return [(f["warc-record-id"], f["warc-type"], p) for at in range(0, len(raw), step) for f, p in warc.scan_range(io.BytesIO(raw), at, min(at + step, len(raw)), len(raw))]
+
+
+def archive(members=9):
+    rnd = random.Random(8)
+    payloads = [bytes(rnd.randrange(97, 123) for _ in range(rnd.randrange(1, 300))) for _ in range(members)]
+    parts = [warc.record(f"urn:page:{k}", "u", "response", p, warc.sha1_base32(p), len(p), None) for k, p in enumerate(payloads)]
+    return parts, b"".join(parts)
+
+
+def test_reader_equals_a_plain_reader():
+    _, raw = archive()
+    for step in (1, 13, 64, 200, 1000, len(raw)):
+        assert read_all(raw, step) == plain_records(raw)
+
+
+@pytest.mark.parametrize("which", [0, 1, 4, 7, 8])
+@pytest.mark.parametrize("kind", ["cut", "bits", "magic"])
+def test_damage_always_fails(which, kind, monkeypatch):
+    monkeypatch.setattr(warc, "PROOF", 0)
+    parts, raw = archive()
+    at, size = sum(map(len, parts[:which])), len(parts[which])
+    for damage in range(1, size - 1, 7):
+        hurt = bytearray(raw)
+        if kind == "cut":
+            del hurt[at + damage : at + size]
+        elif kind == "bits":
+            hurt[at + damage] ^= 0x55
+        else:
+            hurt[at] ^= 0xFF
+        for step in (size // 2 + 1, size, 61, 200, len(raw)):
+            try:
+                assert read_all(bytes(hurt), step) == plain_records(raw)  # a flag of the member's head may not matter
+            except (ValueError, warc.BrokenChain):
+                pass
+
+
+def test_an_id_with_two_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "v", "a")], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    found = sorted((r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    assert found == [("urn:page:1", "response", None, 1)] * 2 + [("urn:page:2", "revisit", "urn:page:1", 1)] * 2
+
+
+def test_a_task_per_range(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", str(random.Random(k).random()) * 50) for k in range(200)], "page_id long, url string, html string")
+    warc.write_warc(pages.repartition(2), str(tmp_path / "w"))
+    size = sum(p.stat().st_size for p in (tmp_path / "w").iterdir() if p.suffix == ".gz")
+    found = warc.read_warc(spark, str(tmp_path / "w"), 1000)
+    assert size // 1000 <= found.rdd.getNumPartitions() <= size // 1000 + 4 and found.count() == 200
+
+
+def test_a_page_of_100_mb(spark, tmp_path):
+    pages = spark.range(3).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 100000000 - 99999999 * cast(id = 1 AS int)) AS html")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    found = warc.read_warc(spark, str(tmp_path / "w"), 50_000).select("payload_bytes", "record_type").collect()
+    assert sorted(map(tuple, found)) == [(1, "response"), (100_000_000, "response"), (100_000_000, "response")]
 
 
 def brute_contamination(docs, items, width=13):
