@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shared_checkpoint
 
-__all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "keep_rows", "shared_checkpoint"]
+__all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "keep_rows", "shared_checkpoint", "shared_table"]
 
 #: Names no input is expected to have.
 _ID, _TH = "_graphloom_id", "_graphloom_th"
@@ -32,6 +34,13 @@ def drop_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
     return _matched(docs, chosen, id_col, text_col, "left_anti").select(*docs.columns)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder: later reads take only the columns they need."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of the shared file system, whichever Hadoop reaches."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,6 +2,7 @@ import gzip
 import io
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,13 +180,23 @@ def test_contamination_matches_brute_force(spark, corpus):
     rows = corpus + ODD
     bench = spark.createDataFrame([(i, x, "q") for i, x in items], "item_id long, text string, words string")
     want = brute_contamination(rows, items)
-    for literal in (1000, 0):
-        found = find_contamination(documents(spark, rows).repartition(3), bench, literal_shingles=literal).collect()
+    for most in (1_000_000, 0):
+        found = find_contamination(documents(spark, rows).repartition(3), bench, broadcast_rows=most).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in found) == want
     assert find_contamination(documents(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
     assert find_contamination(documents(spark, []), bench).count() == 0
 
 
+def test_a_repetitive_document_takes_time_in_proportion(spark):
+    item = " ".join(f"v{k}" for k in range(26))
+    docs = spark.createDataFrame([(1, (item + " ") * 20_000), (2, "a " * 500_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "a " * 14)], "item_id long, text string")
+    began = time.time()
+    found = find_contamination(docs, bench).select("doc_id", "n_words", "n_hit", "item_ids").collect()
+    assert sorted(map(tuple, found)) == [(1, 520_000, 520_000, ["1"]), (2, 500_000, 500_000, ["2"])]
+    assert time.time() - began < 60
+
+
 def test_contamination_is_native(spark):
     docs = documents(spark, [(1, "a b c")])
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
