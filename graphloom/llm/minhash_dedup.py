@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ends = lambda some: some.select(F.col("a").alias("row")).union(some.select("b")).distinct()
     candidates = agreeing(pairs)
-    read = texts_of(ends(candidates))
+    read = texts_of(ends(candidates).union(large.select("c")).distinct())  # the one time that texts move to their rows
     # Each document's likeliest partner first; then only what joins two components.
     seen = candidates.select(F.col("a").alias("c"), F.col("b").alias("o"), "agree").union(candidates.select("b", "a", "agree"))
     likely = seen.groupBy("c").agg(F.max_by("o", F.struct("agree", -F.col("o"))).alias("o")).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = shared_checkpoint(nodes.select("c", "n").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp")))
     placed = large.select("key", "c").join(facts.select("c", "comp"), "c")
     mixed = shared_checkpoint(placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key"))
-    open_texts = texts_of(large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct())
+    open_texts = read.join(large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct(), "row", "left_semi")
     late = agreeing(_similar_prefixes(open_texts, facts, width, percent)).select("a", "b")
     whole = connected_components(links.union(_confirmed(late, open_texts, width, percent)))
     labelled = classed.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").select("row", F.coalesce("component", "c").alias("part"))
