@@ -4,22 +4,25 @@ A *window* is ``width`` consecutive symbols (bytes, or words) of one text. Two
 windows are equal when their symbols are. The engine finds every window that
 has a qualifying equal elsewhere, without ever shuffling a row per window:
 
-1. *Anchors.* Each window is represented by its smallest rolling hash of
-   ``gram`` symbols (leftmost of ties). Equal windows have equal anchors at
-   equal offsets. Windows that share an anchor form one run; the run with its
+1. *Triggers.* Each window is represented by its smallest rolling hash of
+   ``gram`` symbols (leftmost of ties). Equal windows have equal triggers at
+   equal offsets. Windows that share a trigger form one run; the run with its
    windows' text is a *span*. About two rows per ``width - gram`` symbols come
    out, and repeats of a span inside a text are one row with many positions.
-2. *Classes.* One shuffle on the anchor counts spans per anchor and copies per
-   span. Anchors with one row are dropped. A span whose text stands in a
-   qualifying place as a whole is settled at once.
-3. *Extension.* Only where an anchor has several different spans, one
-   representative of each is read again with its text. Spans are sorted by
-   what follows the anchor and by what precedes it (reversed), the two suffix
-   orders; common prefix lengths of neighbours then tell, for each distance
-   from the anchor, which windows are equal. An anchor of more than ``HOT``
-   rows would be too much for one task: the windows of its spans are counted by
-   hash instead, combined before the shuffle.
-4. *Cover.* Settled and extended windows meet their text once more.
+2. *Dictionary.* Distinct spans, told by 128 bits, with how often they stand
+   and where first. Triggers that stand once are dropped. A span that stands
+   in a qualifying place as a whole needs no order.
+3. *Corpus order.* Where a trigger has several different spans, one
+   representative of each is read again with its text. All suffixes that begin
+   with a trigger are put in one order by a range-partitioned sort, so that a
+   task holds a range of that order, and a common trigger simply takes several
+   ranges. Common prefix lengths of neighbours there, and of neighbours in the
+   order of what precedes the trigger (read backwards), tell for each distance
+   from the trigger which windows are equal.
+4. *Edges.* A window whose equals may lie behind an edge of its range, since
+   what follows its trigger agrees with the row at the edge as far as the
+   window reaches, is counted over all ranges by 128 bits.
+5. *Cover.* Repeated windows meet their text once more.
 
 A text is matched by (id, hash of text), so that repeated ids do not mix.
 """
@@ -31,23 +34,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import shared_checkpoint
+from ._spark import shared_table
 
+#: Turns symbols into those of a second, independent hash.
+SECOND = t.U64(0x6A09E667F3BCC909)
 #: Windows handled at once in a very long text.
 PART = 1 << 21
-#: Bytes of span text that one extension step holds.
+#: Bytes of span text that a range holds at most.
 CHUNK = 24 << 20
-#: Rows of an anchor beyond which its windows are dealt out one by one.
-HOT = 50_000
 
-ANCHOR_SCHEMA = "k long, sp long, id long, th long, da int, ln int, n int, at array<int>"
-SPAN_SCHEMA = "k long, sp long, id long, n long, da int, ln int, body binary"
-WINDOW_SCHEMA = "k long, sp long, id long, n long, off int, w long"
-RUN_SCHEMA = "k long, sp long, id long, runs array<struct<lo:int,hi:int>>"
+ANCHOR_SCHEMA = "k long, sp long, sv long, id long, th long, da int, ln int, n int, at array<int>"
+SPAN_SCHEMA = "k long, sp long, sv long, id long, n long, da int, ln int, body binary"
+RUN_SCHEMA = "k long, sp long, sv long, id long, lo int, hi int, n long, w long, v long"
 
 
 @dataclass(frozen=True)
@@ -63,15 +65,16 @@ class Spec:
     item: int
     first_wins: bool
     symbols: Callable[[np.ndarray], np.ndarray]
+    chunk: int = CHUNK
 
 
 def anchors(codes: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor hash, span hash, window-run start, anchor distance, run length less 1."""
+    """Trigger hash, span hashes, window-run start, trigger distance, run length less 1."""
     n, take = len(codes), spec.width - spec.gram + 1
     for base in range(0, n - spec.width + 1, PART):
         x = codes[base : base + PART + spec.width - 1]
         count = len(x) - spec.width + 1
-        sums = t.prefix_hash(x)
+        sums, again = t.prefix_hash(x), t.prefix_hash(t.mix(x ^ SECOND))
         grams = np.arange(len(x) - spec.gram + 1)
         full = t.span_hash(sums, grams, grams + spec.gram)
         keyed = (full & t.U64(0xFFFFFFFFFF000000)) | grams.astype(t.U64)
@@ -86,7 +89,7 @@ def anchors(codes: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
         s, e = np.concatenate([[0], cut]), np.concatenate([cut - 1, [count - 1]])
         a = best[s]
         inside = t.mix(((a - s) * 1_000_003 + (e - s)).astype(t.U64))
-        yield full[a], t.mix(t.span_hash(sums, s, e + spec.width) ^ inside), s + base, a - s, e - s
+        yield full[a], t.mix(t.span_hash(sums, s, e + spec.width) ^ inside), t.mix(t.span_hash(again, s, e + spec.width) + inside), s + base, a - s, e - s
 
 
 def _anchor_rows(spec: Spec):
@@ -94,23 +97,23 @@ def _anchor_rows(spec: Spec):
         for batch in batches:
             data, offsets = t.column_bytes(batch.column("text"))
             ids, hashes = batch.column("id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             spots: list[np.ndarray] = []
             for i in range(len(ids)):
                 if offsets[i + 1] - offsets[i] < spec.width:
                     continue
                 codes = spec.symbols(data[offsets[i] : offsets[i + 1]])
-                for k, sp, s, da, ln in anchors(codes, spec):
-                    order = np.lexsort((s, sp, k))
-                    k, sp, s, da, ln = k[order], sp[order], s[order], da[order], ln[order]
-                    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (sp[1:] != sp[:-1])]))
+                for k, sp, sv, s, da, ln in anchors(codes, spec):
+                    order = np.lexsort((s, sv, sp, k))
+                    k, sp, sv, s, da, ln = (x[order] for x in (k, sp, sv, s, da, ln))
+                    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (sp[1:] != sp[:-1]) | (sv[1:] != sv[:-1])]))
                     n = np.diff(np.append(head, len(k)))
-                    for j, v in enumerate((t.signed(k[head]), t.signed(sp[head]), np.full(len(head), ids[i]), np.full(len(head), hashes[i]), da[head].astype(np.int32), ln[head].astype(np.int32), n.astype(np.int32))):
+                    for j, v in enumerate((t.signed(k[head]), t.signed(sp[head]), t.signed(sv[head]), np.full(len(head), ids[i]), np.full(len(head), hashes[i]), da[head].astype(np.int32), ln[head].astype(np.int32), n.astype(np.int32))):
                         out[j].append(v)
                     spots.append(s.astype(np.int32))
             if spots:
                 columns = [np.concatenate(v) for v in out]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), t.list_array(np.concatenate(spots), columns[6], pa.int32())], ["k", "sp", "id", "th", "da", "ln", "n", "at"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), t.list_array(np.concatenate(spots), columns[7], pa.int32())], ["k", "sp", "sv", "id", "th", "da", "ln", "n", "at"])
 
     return rows
 
@@ -129,7 +132,7 @@ def _span_rows(spec: Spec):
                 x = raw if spec.item == 1 else spec.symbols(raw)
                 for r in asked:
                     cut = x[r["s"] : r["s"] + r["ln"] + spec.width]
-                    out.append((r["k"], r["sp"], key, r["n"], r["da"], r["ln"], (cut if spec.item == 1 else cut.astype(">u8")).tobytes()))
+                    out.append((r["k"], r["sp"], r["sv"], key, r["n"], r["da"], r["ln"], (cut if spec.item == 1 else cut.astype(">u8")).tobytes()))
                 if len(out) >= 4096:
                     yield _batch(out)
                     out = []
@@ -140,12 +143,12 @@ def _span_rows(spec: Spec):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "sp", "id", "n", "da", "ln", "body"])
+    kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "sp", "sv", "id", "n", "da", "ln", "body"])
 
 
 def _suffix_order(keys: np.ndarray, texts: list[bytes], item: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the texts within their anchors, and each rank's common prefix with the one before, in symbols."""
+    """Ranks of the texts within their triggers, and each rank's common prefix with the one before, in symbols."""
     n = len(texts)
     wide = max(max(map(len, texts), default=0), 1)
     size = np.array([len(x) for x in texts], dtype=np.int64)
@@ -173,8 +176,11 @@ def _suffix_order(keys: np.ndarray, texts: list[bytes], item: int) -> tuple[np.n
     return rank, near
 
 
-def equal_windows(k, n, ids, da, ln, bodies: list[bytes], spec: Spec) -> np.ndarray:
-    """For each span, which of its windows have a qualifying equal: a (spans, longest run) mask."""
+def equal_windows(k, n, ids, da, ln, bodies: list[bytes], spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each span, which of its windows have a qualifying equal: a (spans, longest run) mask.
+
+    Also the spans' ranks by what follows the trigger, and each rank's common prefix with the one before.
+    """
     k, n, ids, da, ln = (np.asarray(x, dtype=np.int64) for x in (k, n, ids, da, ln))
     rows, item = len(k), spec.item
     mask = np.zeros((rows, int(ln.max()) + 1 if rows else 1), dtype=bool)
@@ -200,63 +206,78 @@ def equal_windows(k, n, ids, da, ln, bodies: list[bytes], spec: Spec) -> np.ndar
             hit = np.bincount(group, weights=n[live])[group] > 1
         at = live[hit]
         mask[at, (da[at] - d)] = True
-    return mask
-
-
-def _extend(spec: Spec):
-    """Whole anchors at a time, as many as fit in CHUNK bytes."""
-
-    def solve(rows: list[tuple]):
-        k, sp, ids, n, da, ln, bodies = zip(*rows, strict=True)
-        mask = equal_windows(k, n, ids, da, ln, list(bodies), spec)
-        edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        where, lo = np.nonzero(edge == 1)
-        _, hi = np.nonzero(edge == -1)
-        counts = np.bincount(where, minlength=len(rows))
-        some = np.flatnonzero(counts)
-        offsets = np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array((hi - 1).astype(np.int32))], ["lo", "hi"]))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)[some]) for x in (k, sp, ids)] + [runs], ["k", "sp", "id", "runs"])
+    return mask, rank_r, near_r
+
+
+def _reach(rank: np.ndarray, near: np.ndarray, rows: np.ndarray, width: int, back: bool) -> np.ndarray:
+    """Of rows of one trigger, each one's common prefix with the first of them in order, or with the last."""
+    order = rows[np.argsort(rank[rows])]
+    step = near[rank[order]][1:]
+    common = np.concatenate([[width], np.minimum.accumulate(step)]) if not back else np.concatenate([np.minimum.accumulate(step[::-1])[::-1], [width]])
+    out = np.empty(len(rows), dtype=np.int64)
+    out[np.argsort(rank[rows])] = common
+    return out
+
+
+def _windows(spec: Spec, body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the windows that start at ``offsets`` of a span."""
+    x = spec.symbols(np.frombuffer(body, np.uint8)) if spec.item == 1 else np.frombuffer(body, ">u8").astype(t.U64)
+    return tuple(t.signed(t.span_hash(t.prefix_hash(y), offsets, offsets + spec.width)) for y in (x, t.mix(x ^ SECOND)))
+
+
+def _range(rows: list[tuple], spec: Spec, before: bool, after: bool):
+    """Runs of repeated windows of a range of the order; ``before``, ``after``: whether its first, its last trigger may go on outside."""
+    k, sp, sv, ids, n, da, ln, bodies = zip(*rows, strict=True)
+    mask, rank, near = equal_windows(k, n, ids, da, ln, list(bodies), spec)
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    where, lo = np.nonzero(edge == 1)
+    _, hi = np.nonzero(edge == -1)
+    keys = [np.array(x, dtype=np.int64) for x in (k, sp, sv, ids)]
+    n, da, ln = (np.array(x, dtype=np.int64) for x in (n, da, ln))
+    none = pa.nulls(len(where), pa.int64())
+    yield pa.RecordBatch.from_arrays([*(pa.array(x[where]) for x in keys), pa.array(lo.astype(np.int32)), pa.array((hi - 1).astype(np.int32)), pa.array(n[where]), none, none], ["k", "sp", "sv", "id", "lo", "hi", "n", "w", "v"])
+    reach = np.full(len(rows), -1, dtype=np.int64)
+    for wanted, at, back in ((before, 0, False), (after, -1, True)):
+        if wanted:
+            own = np.flatnonzero(keys[0] == keys[0][at])
+            reach[own] = np.maximum(reach[own], _reach(rank, near, own, spec.width, back))
+    owner, spots, first, second = [], [], [], []
+    for i in np.flatnonzero(reach >= spec.width - da):
+        off = np.arange(0, min(ln[i], da[i] - (spec.width - reach[i])) + 1)
+        if len(off):
+            w, v = _windows(spec, bodies[i], off)
+            owner.append(np.full(len(off), i))
+            spots.append(off.astype(np.int32))
+            first.append(w)
+            second.append(v)
+    if owner:
+        own, off = np.concatenate(owner), pa.array(np.concatenate(spots))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in keys), off, off, pa.array(n[own]), pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["k", "sp", "sv", "id", "lo", "hi", "n", "w", "v"])
+
+
+def _ordered(spec: Spec):
+    """Cuts the sorted spans into ranges of ``spec.chunk`` bytes, between triggers where that is possible."""
 
     def rows(batches):
         held: list[tuple] = []
-        seen: set = set()
-        size, last = 0, None
+        size = begun = 0  # bytes held, and where the last trigger begins
+        before = True
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "sp", "id", "n", "da", "ln", "body")), strict=True):
-                if row[0] != last:
-                    if size > CHUNK:
-                        yield solve(held)
-                        held, size = [], 0
-                    seen, last = set(), row[0]
-                if row[1] in seen:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "sp", "sv", "id", "n", "da", "ln", "body")), strict=True):
+                if held and row[:3] == held[-1][:3]:  # a row that stands twice in the table
                     continue
-                seen.add(row[1])
+                if held and row[0] != held[-1][0]:
+                    begun = len(held)
+                if size > spec.chunk:
+                    cut = begun or len(held)
+                    yield from _range(held[:cut], spec, before, not begun)
+                    before = not begun
+                    held, begun = held[cut:], 0
+                    size = sum(len(x[7]) for x in held)
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
-            yield solve(held)
-
-    return rows
-
-
-def _windows(spec: Spec):
-    """A hash of each window of each span."""
-
-    def rows(batches):
-        for batch in batches:
-            data, offsets = t.column_bytes(batch.column("body"))
-            fixed = [batch.column(c).to_numpy() for c in ("k", "sp", "id", "n")]
-            counts = batch.column("ln").to_numpy().astype(np.int64) + 1
-            hashes = []
-            for a, b in zip(offsets, offsets[1:], strict=False):
-                raw = data[a:b]
-                x = spec.symbols(raw) if spec.item == 1 else np.frombuffer(raw.tobytes(), ">u8").astype(t.U64)
-                start = np.arange(len(x) - spec.width + 1)
-                hashes.append(t.span_hash(t.prefix_hash(x), start, start + spec.width))
-            if hashes:
-                offs = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(f, counts)) for f in fixed), pa.array(offs), pa.array(t.signed(np.concatenate(hashes)))], ["k", "sp", "id", "n", "off", "w"])
+            yield from _range(held, spec, before, True)
 
     return rows
 
@@ -266,43 +287,34 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
 
     ``docs`` has id, th and text, none of the first two null.
     """
-    found = docs.select("id", "th", "text").mapInArrow(_anchor_rows(spec), ANCHOR_SCHEMA)
-    of_anchor, of_span = Window.partitionBy("k"), Window.partitionBy("k", "sp")
-    # One exchange on k serves both windows, since rows of (k, sp) are then together too.
-    marked = (
-        found.repartition("k")
-        .withColumn("copies", F.sum("n").over(of_span))
-        .withColumn("first", F.min("id").over(of_span))
-        .withColumn("all", F.sum("n").over(of_anchor))
-        .withColumn("low", F.min("sp").over(of_anchor))
-        .withColumn("high", F.max("sp").over(of_anchor))
-        .withColumn("hot", F.count("*").over(of_anchor) > HOT)
-        .filter("all > 1")
-    )
-    if spec.first_wins:
-        whole = F.col("first") < F.col("id")
-    else:
-        whole = F.col("copies") > 1
-    marked = marked.select("k", "sp", "id", "th", "da", "ln", "at", "copies", whole.alias("whole"), (F.col("low") != F.col("high")).alias("mixed"), "hot").filter("whole or mixed")
-    marked = shared_checkpoint(marked)
-    # One representative of each span where an anchor has several: the smallest id's.
-    asked = marked.filter("mixed").groupBy("k", "sp").agg(F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r"), F.max("copies").alias("n"), F.max("hot").alias("hot"))
-
-    def spans(some: DataFrame) -> DataFrame:
-        listed = some.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("k", "sp", F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n")).alias("asked"))
-        return docs.select("id", "th", "text").join(listed, ["id", "th"]).select("id", "text", "asked").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
-
-    runs = spans(asked.filter("not hot")).repartition("k").sortWithinPartitions("k", "sp").mapInArrow(_extend(spec), RUN_SCHEMA)
-    windows = spans(asked.filter("hot")).dropDuplicates(["k", "sp"]).mapInArrow(_windows(spec), WINDOW_SCHEMA)
-    counts = windows.groupBy("w").agg(F.sum("n").alias("every"), F.min("id").alias("least"))
-    hit = windows.join(counts, "w").filter("least < id" if spec.first_wins else "every > 1")
-    runs = runs.unionByName(hit.groupBy("k", "sp", "id").agg(F.collect_list(F.struct(F.col("off").alias("lo"), F.col("off").alias("hi"))).alias("runs")))
-    keys = ["k", "sp", "id"] if spec.first_wins else ["k", "sp"]
-    partial = marked.filter("not whole and mixed").join(runs.select(*keys, "runs"), keys)
+    key = ["k", "sp", "sv"]
+    found = shared_table(docs.select("id", "th", "text").mapInArrow(_anchor_rows(spec), ANCHOR_SCHEMA))
+    often = shared_table(found.groupBy("k").agg(F.sum("n").alias("all")).filter("all > 1").select("k"))
+    live = shared_table(found.join(often, "k"))
+    first = F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r")
+    spans = shared_table(live.groupBy(*key).agg(F.sum("n").alias("copies"), first))
+    mixed = spans.groupBy("k").agg((F.count("*") > 1).alias("mixed"))
+    dictionary = shared_table(spans.join(mixed, "k"))
+    whole = F.col("r.id") < F.col("id") if spec.first_wins else F.col("copies") > 1
+    marked = live.join(dictionary, key).select(*key, "id", "th", live["da"], live["ln"], "at", whole.alias("whole"), "mixed").filter("whole or mixed")
+    # One representative of each span where a trigger has several: the smallest id's.
+    asked = dictionary.filter("mixed").select(*key, F.col("copies").alias("n"), "r")
+    listed = asked.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct(*key, F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n")).alias("asked"))
+    texts = shared_table(docs.select("id", "th", "text").join(listed, ["id", "th"]).select("id", "text", "asked").mapInArrow(_span_rows(spec), SPAN_SCHEMA))
+    follows = F.expr(f"substring(body, da * {spec.item} + 1)")
+    order = ["k", "follows", "sp", "sv"]
+    sorted_spans = texts.withColumn("follows", follows).repartitionByRange(*order).sortWithinPartitions(*order).drop("follows")
+    ranges = shared_table(sorted_spans.mapInArrow(_ordered(spec), RUN_SCHEMA))
+    crossing = ranges.filter("w is not null")
+    counts = crossing.groupBy("w", "v").agg(F.sum("n").alias("every"), F.min("id").alias("least"))
+    hit = crossing.join(counts, ["w", "v"]).filter("least < id" if spec.first_wins else "every > 1")
+    keys = [*key, "id"] if spec.first_wins else key
+    runs = ranges.filter("w is null").select(*keys, "lo", "hi").union(hit.select(*keys, "lo", "hi")).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    partial = marked.filter("not whole and mixed").join(runs, keys)
     moved = F.flatten(F.transform("at", lambda s: F.transform("runs", lambda r: F.struct((s + r.lo).alias("lo"), (s + r.hi).alias("hi")))))
     settled = F.transform("at", lambda s: F.struct(s.alias("lo"), (s + F.col("ln")).alias("hi")))
-    ranges = marked.filter("whole").select("id", "th", settled.alias("r")).unionByName(partial.select("id", "th", moved.alias("r")))
-    return ranges.groupBy("id", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
+    covering = marked.filter("whole").select("id", "th", settled.alias("r")).unionByName(partial.select("id", "th", moved.alias("r")))
+    return covering.groupBy("id", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

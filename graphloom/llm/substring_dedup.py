@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from .repeats import Spec, covered, keyed_texts, repeated_windows
+from .repeats import CHUNK, Spec, covered, keyed_texts, repeated_windows
 
 SCHEMA = "id long, no_id boolean, n_words long, n_removed long, spans array<struct<lo:int,hi:int>>, kept string"
 
@@ -49,7 +49,7 @@ def _cut(width: int):
     return rows
 
 
-def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 12) -> DataFrame:
+def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 12, chunk: int = CHUNK) -> DataFrame:
     """Cuts every word inside a ``width``-word window that also stands under a smaller id.
 
     Words are maximal runs without ASCII white space, unchanged. Returns a row
@@ -63,6 +63,6 @@ def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     t.limit_arrow_batches(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
-    runs = repeated_windows(texts, Spec(width, min(gram, width), 8, True, t.text_words))
+    runs = repeated_windows(texts, Spec(width, min(gram, width), 8, True, t.text_words, chunk))
     out = texts.join(runs, ["id", "th"], "left").select("id", "no_id", "text", "runs").mapInArrow(_cut(width), SCHEMA)
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept")

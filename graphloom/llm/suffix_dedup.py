@@ -1,11 +1,11 @@
 """Suffix-array dedup of bytes: strings that stand more than once are removed everywhere.
 
-Prefix-free parsing: the smallest rolling hash of each window triggers, so that
-every 400-byte string holds a trigger that depends on the string alone, and
-phrases run from trigger to trigger. Dictionary and parse are combined per
-trigger: spans around it are put in the order of what follows it (the parse's
-suffixes) and in the order of what precedes it (the phrase's suffixes), with
-common prefix lengths; equal strings are neighbours in both. See ``repeats``.
+After prefix-free parsing: the smallest rolling hash of each window is its
+trigger, so that every 400-byte string holds one that depends on the string
+alone; texts are parsed into spans around triggers, and a dictionary holds each
+distinct span once. The suffixes of the corpus that begin with a trigger are
+sorted, a range of their order per task, and so is what precedes each trigger,
+read backwards; equal strings are neighbours in both. See ``repeats``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from .repeats import Spec, covered, keyed_texts, repeated_windows
+from .repeats import CHUNK, Spec, covered, keyed_texts, repeated_windows
 
 SCHEMA = "id long, no_id boolean, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary"
 
@@ -44,7 +44,7 @@ def _cut(width: int):
     return rows
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 64) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 64, chunk: int = CHUNK) -> DataFrame:
     """Cuts every byte that lies in a ``width``-byte string standing twice or more.
 
     Returns a row per input row: ``id_col``, n_bytes, n_removed, spans (maximal
@@ -57,6 +57,6 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     t.limit_arrow_batches(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
-    runs = repeated_windows(texts, Spec(width, min(gram, width), 1, False, t.byte_codes))
+    runs = repeated_windows(texts, Spec(width, min(gram, width), 1, False, t.byte_codes, chunk))
     out = texts.join(runs, ["id", "th"], "left").select("id", "no_id", "text", "runs").mapInArrow(_cut(width), SCHEMA)
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), "n_bytes", "n_removed", "spans", "kept")

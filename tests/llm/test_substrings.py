@@ -52,15 +52,48 @@ def test_words_match_brute_force(spark, corpus, width, gram):
     assert got(out, "n_words") == brute(rows, width, lambda x: tuple((x or "").encode().split()), lambda v: b" ".join(v), True)
 
 
-def test_hot_anchors_match_brute_force(spark, corpus, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 2)
+@pytest.mark.parametrize("chunk", [1, 700, 5000])
+def test_ranges_that_cut_triggers_match_brute_force(spark, corpus, chunk):
     rows = corpus[:60] + ODD
-    out = remove_later_passages(documents(spark, rows).repartition(5), width=10, gram=3)
+    out = remove_later_passages(documents(spark, rows).repartition(5), width=10, gram=3, chunk=chunk)
     assert got(out, "n_words") == brute(rows, 10, lambda x: tuple((x or "").encode().split()), lambda v: b" ".join(v), True)
-    out = remove_repeated_strings(documents(spark, rows).repartition(5), width=60, gram=16)
+    out = remove_repeated_strings(documents(spark, rows).repartition(5), width=60, gram=16, chunk=chunk)
     assert got(out, "n_bytes") == brute(rows, 60, lambda x: (x or "").encode(), bytes, False)
 
 
+def test_registered_widths_match_brute_force(spark):
+    """Texts long enough for 400 bytes and 50 words: whole copies, edits, shared passages at all distances from an edge."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    passage = [rnd.choice(words) for _ in range(130)]
+    rows = []
+    for i in range(60):
+        own = [rnd.choice(words) for _ in range(rnd.randrange(50, 300))]
+        if i % 3 == 0 and i:
+            own = rows[rnd.randrange(i)][1].split(" ")
+            for _ in range(rnd.randrange(3)):
+                own[rnd.randrange(len(own))] = "edit"
+        if i % 3 == 1:
+            lo, hi = rnd.randrange(50), 130 - rnd.randrange(50)
+            own[rnd.randrange(len(own)) :] = passage[lo:hi] + own[:20]
+        rows.append((i, " ".join(own)))
+    assert got(remove_repeated_strings(documents(spark, rows)), "n_bytes") == brute(rows, 400, lambda x: x.encode(), bytes, False)
+    assert got(remove_later_passages(documents(spark, rows)), "n_words") == brute(rows, 50, lambda x: tuple(x.encode().split()), lambda v: b" ".join(v), True)
+
+
+def test_a_trigger_of_60000_different_rows(spark):
+    """One line of 60 bytes between different ones, in 60,000 rows: windows of 80 bytes repeat in two pairs of rows only."""
+    line = "the one line that stands in every document of this small set"
+    texts = [f"{i:06d} before {i * 7919 % 1000003:07d} {line} {i * 104729 % 1000003:07d} after {i:06d}" for i in range(60_000)]
+    texts[40_000] = "x" + texts[100][3:]
+    texts[50_000] = texts[200][:-3] + "y"
+    rows = list(enumerate(texts))
+    out = remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=80, gram=32, chunk=1 << 20)
+    want = [r for r in brute(rows, 80, lambda x: x.encode(), bytes, False) if r[2]]
+    assert 4 <= len(want) < 10
+    assert got(out.filter("n_removed > 0"), "n_bytes") == want
+
+
 def test_runs_of_one_byte(spark):
     rows = [(1, "a" * 500), (2, "b" * 39), (3, "c" * 40), (4, "ab" * 30), (5, "ab" * 30)]
     assert got(remove_repeated_strings(documents(spark, rows), width=40, gram=8), "n_bytes") == brute(rows, 40, lambda x: x.encode(), bytes, False)
@@ -71,7 +104,7 @@ def test_parts_of_long_texts_meet(monkeypatch):
     rnd = random.Random(3)
     codes = np.array([rnd.randrange(1 << 62) for _ in range(1000)], dtype=np.uint64)
     spec = repeats.Spec(20, 5, 8, True, text_words)
-    starts = [int(s) + k for _, _, ss, _, ln in repeats.anchors(codes, spec) for s, n in zip(ss, ln, strict=True) for k in range(int(n) + 1)]
+    starts = [int(s) + k for _, _, _, ss, _, ln in repeats.anchors(codes, spec) for s, n in zip(ss, ln, strict=True) for k in range(int(n) + 1)]
     assert sorted(starts) == list(range(1000 - 20 + 1))
 
 
