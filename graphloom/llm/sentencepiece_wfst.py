@@ -1,17 +1,24 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Compiled from a model file: the normaliser (a transducer over characters), the
-pieces (a trie whose accepting states emit a piece, weighted by its score) and
-the byte fallback (one arc per byte for characters without a piece). A text is
-composed with them lazily, and its encoding is the path of least weight in the
-tropical semiring, where weights add along a path and the least sum wins.
-
-For a unigram model that is all. For a BPE model a third machine is composed
-in: an acceptor of piece sequences whose every neighbouring pair is what BPE
-makes of the pair's own text; other pairs weigh infinity. A sequence is the BPE
-encoding of a text exactly if all its neighbouring pairs are accepted, since
-merges on either side of a boundary don't see each other until one crosses it.
-One path is left then, and it is the model's encoding.
+Compiled from a model file, each a table of arcs:
+
+* ``CharacterMap``: the model's character map as a transducer over characters,
+  which takes the longest key at each place.
+* ``Spaces``: the rest of the normaliser, a transducer that drops and joins
+  spaces, writes them as U+2581 and puts one before the text.
+* ``Pieces``: a trie whose accepting states emit a piece, weighted by its score;
+  a character without a piece has an arc that emits its bytes, one byte piece
+  each (or the unknown piece), at a weight beyond every piece's.
+* For BPE models an acceptor of piece sequences whose every neighbouring pair is
+  what BPE makes of the pair's own text: such a pair weighs nothing, any other
+  infinity. A sequence is the BPE encoding of a text exactly if all its
+  neighbouring pairs are accepted, since merges on either side of a boundary
+  don't see each other until one crosses it.
+
+A text is composed with them lazily, and its encoding is the path of least
+weight in the tropical semiring, where weights add along a path and the least
+sum wins (the first of equal ones, with longer last pieces before shorter).
+Stretches that no piece reaches across are composed apart and kept.
 """
 
 from __future__ import annotations
@@ -96,8 +103,86 @@ class PieceModel:
                         self.trim = bool(v)
                     elif n == 5:
                         self.escape = bool(v)
-        if self.charsmap:
-            raise ValueError("character maps other than identity are not supported")
+
+
+class CharacterMap:
+    """A precompiled character map: keys to replacements, the longest key at each place.
+
+    The map is stored as a double-array trie (units of 32 bits: label, offset
+    to the children, or a value) and the replacements it points into.
+    """
+
+    def __init__(self, raw: bytes):
+        size = int(np.frombuffer(raw, "<u4", 1)[0])
+        units = np.frombuffer(raw, "<u4", size // 4, 4)
+        texts = raw[4 + size :]
+        self.trie: dict = {}
+        labels = np.arange(1, 256, dtype=np.int64)
+        offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+        todo = [(offset(int(units[0])), b"")]
+        while todo:
+            at, key = todo.pop()
+            places = at ^ labels
+            inside = places < len(units)
+            own = labels[inside][(units[places[inside]] & np.uint32(0x800000FF)) == labels[inside]]
+            for label in own.tolist():
+                unit = int(units[at ^ label])
+                below, longer = (at ^ label) ^ offset(unit), key + bytes([label])
+                if unit >> 8 & 1:
+                    start = int(units[below]) & 0x7FFFFFFF
+                    self._add(longer.decode(), texts[start : texts.index(b"\0", start)].decode())
+                todo.append((below, longer))
+        self.begins = re.compile("[" + "".join(map(re.escape, sorted(self.trie))) + "]") if self.trie else None
+
+    def _add(self, key: str, text: str) -> None:
+        node = self.trie
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = text
+
+    def transduce(self, text: str) -> str:
+        """What the map makes of a text; characters without a key stay."""
+        if self.begins is None:
+            return text
+        out, done = [], 0
+        while (m := self.begins.search(text, done)) is not None:
+            at = m.start()
+            out.append(text[done:at])
+            node, j, end, best = self.trie, at, at + 1, text[at]
+            while j < len(text) and (node := node.get(text[j])) is not None:
+                j += 1
+                if "" in node:
+                    end, best = j, node[""]
+            out.append(best)
+            done = end
+        out.append(text[done:])
+        return "".join(out)
+
+
+class Spaces:
+    """The normaliser's other half: arcs from (state, class of character) to (state, what goes before, whether the character goes out).
+
+    States: nothing written yet; within text; spaces held back.
+    """
+
+    START, TEXT, HELD = 0, 1, 2
+
+    def __init__(self, trim: bool, prefix: bool, escape: bool):
+        mark = SPACE if escape else " "
+        first = mark if prefix else ""
+        start, text, held = self.START, self.TEXT, self.HELD
+        self.mark = mark
+        if trim:
+            self.arcs = {(start, True): (start, "", False), (text, True): (held, "", False), (held, True): (held, "", False), (start, False): (text, first, True), (text, False): (text, "", True), (held, False): (text, mark, True)}
+        else:
+            self.arcs = {(start, True): (text, first + mark, False), (text, True): (text, mark, False), (start, False): (text, first, True), (text, False): (text, "", True)}
+
+    def transduce(self, text: str, state: int) -> str:
+        out, arcs = [], self.arcs
+        for c in text:
+            state, before, own = arcs[state, c == " "]
+            out.append(before + c if own else before)
+        return "".join(out)
 
 
 class Transducer:
@@ -118,7 +203,10 @@ class Transducer:
             node[""] = i
         self.known = {p for p in self.ids if len(p) == 1}
         self.rank = {p: self.cost[i] for p, i in self.ids.items()}
+        self.fallback: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
+        self.map = CharacterMap(model.charsmap) if model.charsmap else None
+        self.spaces = Spaces(model.trim, model.dummy_prefix, model.escape)
         self.chunks = re.compile(self._chunk_pattern(), re.S)
         self.output = [p.replace(SPACE, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in model.pieces]
         for byte, i in self.bytes.items():
@@ -127,16 +215,17 @@ class Transducer:
         self.memo = _Memo(self)
 
     def _chunk_pattern(self) -> str:
-        """Stretches that no piece reaches across, so that each is a composition of its own.
+        """Stretches of raw text that no piece reaches across, so that each is a composition of its own.
 
         Two characters can share a piece only if they are neighbours in one.
-        Characters linked so form groups, and a chunk is a run of one group
-        with the spaces before it, a run of spaces, or an unknown character.
-        Where a piece has a space behind another character, spaces are a
-        character like any other.
+        Characters linked so form groups, and a chunk is a run of one group, or
+        an unknown character, with the spaces before it; or the spaces at the
+        end. Where a piece has a space behind another character, the whole text
+        is one chunk.
         """
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        root = {c: c for p in self.ids for c in p if inner or c != SPACE}
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return ".+"
+        root = {c: c for p in self.ids for c in p if c != SPACE}
 
         def find(c):
             while root[c] != c:
@@ -154,25 +243,8 @@ class Transducer:
         for c in sorted(root):
             groups.setdefault(find(c), []).append(c)
         runs = sorted((g for g in groups.values() if linked & set(g)), key=len, reverse=True)
-        single = [c for c in sorted(root) if c not in linked]
-        options = ["[" + "".join(map(re.escape, g)) + "]+" for g in runs]
-        if single:
-            options.append("[" + "".join(map(re.escape, single)) + "]")
-        if not options:
-            return f"{SPACE}+|."
-        return f"{'' if inner else SPACE + '*'}(?:{'|'.join(options)})|{SPACE}+|."
-
-    # The normaliser.
-
-    def normalise(self, text: str) -> str:
-        m = self.model
-        if m.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        if m.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if m.escape else text
+        options = ["[" + "".join(map(re.escape, g)) + "]+" for g in runs] + [f"[^ {SPACE}]"]
+        return f"[ {SPACE}]*(?:{'|'.join(options)})|[ {SPACE}]+"
 
     # The acceptor of BPE pairs.
 
@@ -200,16 +272,21 @@ class Transducer:
 
     # Composition with a chunk, and its shortest path.
 
-    def chunk(self, text: str) -> tuple[int, ...]:
+    def unpieced(self, c: str) -> tuple[int, ...]:
+        """What the arc of a character without a piece emits."""
+        out = self.fallback.get(c)
+        if out is None:
+            out = self.fallback[c] = tuple(self.bytes[x] for x in c.encode("utf-8", "replace")) if self.bytes else (self.unknown,)
+        return out
+
+    def compose(self, raw: str, state: int) -> list[int]:
+        """The ids on the least path of spaces, pieces and acceptor, composed with a chunk from a state of the spaces on."""
+        text = self.spaces.transduce(raw, state)
         n = len(text)
-        if n == 1 and text not in self.known:
-            raw = text.encode("utf-8", "replace")
-            return tuple(self.bytes[x] for x in raw) if self.bytes else (self.unknown,)
-        trie, bpe, pairs, cost = self.trie, self.model.bpe, self.pairs, self.cost
-        last = [-1] * (n + 1)
-        back = [0] * (n + 1)
+        trie, bpe, pairs, cost, known = self.trie, self.model.bpe, self.pairs, self.cost, self.known
         weight = [math.inf] * (n + 1)
         weight[0] = 0.0
+        last, back = [-1] * (n + 1), [0] * (n + 1)  # of the least path to each place: its piece (-1: none, so that pairs begin anew), and where that began
         for i in range(n):
             here = weight[i]
             if here == math.inf:
@@ -223,9 +300,10 @@ class Transducer:
                 b = node.get("")
                 if b is None:
                     continue
+                total = here + cost[b]
+                if total >= weight[j]:
+                    continue
                 if bpe:
-                    if last[j] >= 0:  # one accepted path leads to each place
-                        continue
                     ok = pairs.get(a | b)
                     if ok is None:
                         if len(pairs) > PAIRS:
@@ -233,23 +311,35 @@ class Transducer:
                         ok = pairs[a | b] = self.accepts((a >> 24) - 1, b)
                     if not ok:
                         continue
-                total = here + cost[b]
-                if total < weight[j]:
-                    weight[j], last[j], back[j] = total, b, i
-            if not bpe and text[i] not in self.known and here + self.worst < weight[i + 1]:
-                weight[i + 1], last[i + 1], back[i + 1] = here + self.worst, self.unknown, i
+                weight[j], last[j], back[j] = total, b, i
+            if text[i] not in known and here + self.worst < weight[i + 1]:
+                weight[i + 1], last[i + 1], back[i + 1] = here + self.worst, -1, i
         out, j = [], n
         while j > 0:
-            out.append(last[j])
-            j = back[j]
-        return tuple(out[::-1])
-
-    def encode(self, text: str) -> list[int]:
-        packed = b"".join(map(self.memo.__getitem__, self.chunks.findall(self.normalise(text))))
-        return np.frombuffer(packed, dtype=np.int32).tolist()
+            i = back[j]
+            out.append((last[j],) if last[j] >= 0 else self.unpieced(text[i]))
+            j = i
+        return [x for piece in reversed(out) for x in piece]
 
     def encode_packed(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.chunks.findall(self.normalise(text))))
+        """The text's ids as 32-bit integers."""
+        if self.map is not None:
+            text = self.map.transduce(text)
+        if self.model.trim:  # at the end a written space counts as one
+            text = text.lstrip(" ").rstrip(" " + SPACE * self.model.escape)
+        chunks = self.chunks.findall(text)
+        if not chunks:
+            return b""
+        packed = array("i", self.compose(chunks[0], Spaces.START)).tobytes() + b"".join(map(self.memo.__getitem__, chunks[1:]))
+        if self.bytes:
+            return packed
+        ids = np.frombuffer(packed, dtype=np.int32)  # neighbouring unknown characters are one unknown piece
+        again = np.zeros(len(ids), dtype=bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; bytes that form no character become U+FFFD, ids out of range fail."""
@@ -267,7 +357,7 @@ class _Memo(dict):
     def __missing__(self, text: str) -> bytes:
         out = self.old.get(text)
         if out is None:
-            out = array("i", self.machine.chunk(text)).tobytes()
+            out = array("i", self.machine.compose(text, Spaces.TEXT)).tobytes()
             if len(text) > 48:
                 return out
         if len(self) >= CHUNKS:
