@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1 entries. A letter trigram is bound
+Each letter has a random vector of +1 and -1 entries, drawn by a hash of its
+lower-case code point. A letter trigram is bound
 from its letters' vectors, permuted (rotated) by their places, as an entrywise
 product; a text bundles its trigrams by addition. A language's prototype
 bundles its training texts, each scaled to unit length. A text gets the
@@ -19,33 +20,29 @@ from . import _text as t
 DIMENSIONS = 512
 #: Fixed-point scale of bundled training vectors, so that their sums don't depend on order.
 SCALE = 1 << 20
-#: Letters get codes below this; codes of one residue share a vector.
-LETTERS = 1 << 11
+#: Bits of a code point, of which a trigram packs three.
+POINT = 21
 
-_is_letter: np.ndarray | None = None
 _code: np.ndarray | None = None
-_vectors: np.ndarray | None = None
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the first four planes (no letters lie above) a letter code (0 is a gap), and the letters' vectors."""
-    global _code, _vectors
+def _codes() -> np.ndarray:
+    """For each code point of the first four planes (no letters lie above) its lower case, or 0, a gap, for what is no letter."""
+    global _code
     if _code is None:
-        points = np.zeros(0x40000, dtype=np.int64)
-        for p in range(0x40000):
-            c = chr(p)
-            if c.isalpha():
-                low = c.lower()
-                points[p] = 1 + ord(low[0]) % (LETTERS - 1)
-        _code = points
-        _vectors = np.random.default_rng(77).integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1
-        _vectors[0] = np.random.default_rng(78).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
-    return _code, _vectors
+        _code = np.array([ord(chr(p).lower()[0]) if chr(p).isalpha() else 0 for p in range(0x40000)], dtype=np.int64)
+    return _code
+
+
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """A row of +1 and -1 for each code."""
+    words = t.mix(t.mix(codes.astype(t.U64)[:, None] + t.U64(0x5851F42D4C957F2D)) + np.arange(DIMENSIONS // 64, dtype=t.U64)[None, :] * t.U64(0x9E3779B97F4A7C15))
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def letter_codes(text: str) -> np.ndarray:
     """Letter codes with one gap between words and at both ends; empty if there is no letter."""
-    code, _ = _tables()
+    code = _codes()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     x = code[np.minimum(points, len(code) - 1)]
     letter = x > 0
@@ -59,13 +56,12 @@ def letter_codes(text: str) -> np.ndarray:
 
 def bundle(texts: list[str]) -> np.ndarray:
     """A row per text: the sum of its trigrams' vectors (zero without letters)."""
-    _, vectors = _tables()
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     grams, owner = [], []
     for i, text in enumerate(texts):
         x = letter_codes(text)
         if len(x) >= 3:
-            found, counts = np.unique((x[:-2] << 22) | (x[1:-1] << 11) | x[2:], return_counts=True)
+            found, counts = np.unique((x[:-2] << (2 * POINT)) | (x[1:-1] << POINT) | x[2:], return_counts=True)
             grams.append((found, counts))
             owner.append(i)
     if not owner:
@@ -76,7 +72,8 @@ def bundle(texts: list[str]) -> np.ndarray:
     for row, (found, counts) in enumerate(grams):
         weights[row, inverse[at : at + len(found)]] = counts
         at += len(found)
-    a, b, c = vectors[every >> 22], vectors[(every >> 11) & 2047], vectors[every & 2047]
+    letters, place = np.unique(np.concatenate([every >> (2 * POINT), (every >> POINT) & ((1 << POINT) - 1), every & ((1 << POINT) - 1)]), return_inverse=True)
+    a, b, c = letter_vectors(letters)[place].reshape(3, len(every), DIMENSIONS)
     bound = (np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c).astype(np.float32)
     out[owner] = weights @ bound
     return out
@@ -112,11 +109,12 @@ def _train(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], ["lang", "place", "value"])
 
 
-def train_prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 40_000) -> dict[str, np.ndarray]:
+def train_prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 40_000, most_languages: int = 4096) -> dict[str, np.ndarray]:
     """Unit prototypes by language from rows whose crc32 of the id's text modulo 4 is not 2.
 
     ``most_rows`` bounds the training rows (about; chosen by a hash of the id).
-    What reaches the driver is one vector per language.
+    What reaches the driver is one vector per language; ValueError if the
+    sample has more than ``most_languages``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 4 != 2))
@@ -125,7 +123,10 @@ def train_prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sums = rows.select("text", "lang").mapInArrow(_train, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
-    for lang, place, value in sums.collect():
+    found = sums.limit(DIMENSIONS * most_languages + 1).collect()
+    if len(found) > DIMENSIONS * most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    for lang, place, value in found:
         out.setdefault(lang, np.zeros(DIMENSIONS))[place] = value
     return {lang: v / np.sqrt((v**2).sum()) for lang, v in sorted(out.items()) if v.any()}
 

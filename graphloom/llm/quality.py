@@ -197,8 +197,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     """Fit on labelled rows whose crc32 of the id's text modulo 3 is not 1.
 
     ``most_rows`` bounds the sample (about; chosen by a hash of the id), whose
-    labels are broadcast and whose features reach the driver. Null labels and
-    ids don't count; an id with several labels takes the smallest.
+    labels are broadcast and whose features reach the driver, one row per id.
+    Null labels and ids don't count; an id with several labels takes the
+    smallest, one with several texts that of the smallest features.
     """
     t.limit_arrow_batches(docs.sparkSession)
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -207,7 +208,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     if share < 1:
         own = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = texts.join(F.broadcast(own), "id").mapInArrow(_features, FEATURE_SCHEMA).orderBy("id", "x").toPandas()
+    seen = texts.join(F.broadcast(own), "id").mapInArrow(_features, FEATURE_SCHEMA)
+    rows = seen.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy("id").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_additive(x, rows["y"].to_numpy(np.float64))
 

@@ -1,3 +1,5 @@
+import bisect
+import math
 import random
 import struct
 
@@ -6,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import sentencepiece_wfst as sw
-from graphloom.llm.language_id import identify_languages, letter_codes, train_prototypes
-from graphloom.llm.quality import AdditiveModel, classify_quality, fit_additive, text_features
+from graphloom.llm.language_id import identify_languages, letter_codes, letter_vectors, train_prototypes
+from graphloom.llm.quality import AdditiveModel, classify_quality, fit_additive, text_features, train_quality, with_quality
 
 from .conftest import ODD, documents
 
@@ -166,3 +168,87 @@ def test_additive_model_learns_an_interaction():
 def test_features_of_empty_and_long_texts():
     assert set(text_features(np.zeros(0, np.uint8))) == {0.0}
     assert np.isfinite(text_features(np.full(3_000_000, 65, np.uint8))).all()
+
+
+def plain_vector(text):
+    """The sum of a text's bound trigrams, letter by letter in Python."""
+    letters, gap = [], True
+    for c in text:
+        if c.isalpha():
+            letters += [0] * gap + [ord(c.lower()[0])]
+            gap = False
+        else:
+            gap = True
+    if not letters:
+        return None
+    letters.append(0)
+    of = {x: letter_vectors(np.array([x]))[0].tolist() for x in set(letters)}
+    out = [0] * 512
+    for x, y, z in zip(letters, letters[1:], letters[2:], strict=False):
+        a, b, c = of[x], of[y], of[z]
+        for k in range(512):
+            out[k] += a[k - 2] * b[k - 1] * c[k]
+    return out
+
+
+def test_languages_equal_a_plain_scorer(spark):
+    texts = ["Ein kurzer Satz.", "the cat sat", "le chat, l'été", "\U00020000\U00020001 \U00030000", "数据 数据", "a", "AA aa", "12 34", "", None, "x\u0301y ß"]
+    langs = {"de": "der Satz ist kurz und ein Wort", "en": "the cat sat on the mat", "fr": "le chat est sur la table", "zh": "数据 \U00020000\U00020001"}
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    unit = lambda v: np.array(v) / np.sqrt(np.dot(v, v))
+    prototypes = {k: unit(plain_vector(x)) for k, x in langs.items()}
+    for r in identify_languages(docs, prototypes).collect():
+        v = plain_vector(texts[r.doc_id] or "")
+        if v is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {k: float(np.dot(unit(v), p)) for k, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - min(max(cosines[best], 0), 1)) < 1e-6
+    assert len({tuple(x) for x in letter_vectors(np.arange(0x4E00, 0x9FFF)).tolist()}) == 0x9FFF - 0x4E00
+
+
+def test_language_ties_and_very_long_texts(spark):
+    v = np.ones(512) / np.sqrt(512)
+    docs = spark.createDataFrame([(1, "abc"), (2, "the cat sat " * 400_000)], "doc_id long, text string")
+    out = {r.doc_id: r for r in identify_languages(docs, {"b": v, "a": v}).collect()}
+    assert out[1].lang_pred == out[2].lang_pred == "a"
+    short = identify_languages(docs.limit(0).union(spark.createDataFrame([(3, "the cat sat " * 50)], docs.schema)), {"a": v}).first()
+    assert abs(short.score - out[2].score) < 0.05
+
+
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        train_prototypes(docs, most_languages=5)
+
+
+def test_quality_equals_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300")
+    model = train_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(model.pairs) > 0
+    scores = {r.doc_id: r.score for r in with_quality(docs, model).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        x = text_features(np.frombuffer((text or "").encode(), np.uint8))
+        total = model.base
+        bins = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.edges, x, strict=True)]
+        for j, b in enumerate(bins):
+            total += model.tables[j][b]
+        for i, j, table in model.pairs:
+            total += table[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]]
+        assert abs(scores[doc_id] - 1 / (1 + math.exp(-min(max(total, -40), 40)))) < 1e-9
+
+
+def test_quality_features_equal_plain_ones():
+    text = "One line here.\nTwo\nTwo\nan odd 12 line, é中\n"
+    x = text_features(np.frombuffer(text.encode(), np.uint8))
+    words, size = text.encode().split(), len(text.encode())
+    assert abs(x[0] - math.log1p(size)) < 1e-12 and abs(x[1] - math.log1p(len(words))) < 1e-12 and abs(x[2] - size / len(words)) < 1e-12
+    lines = text.encode().split(b"\n")
+    assert abs(x[13] - len(set(lines)) / len(lines)) < 1e-12 and abs(x[14] - 3 / size) < 1e-12 and abs(x[15] - len(words) / len(lines)) < 1e-12
+
+
+def test_repeated_rows_do_not_weigh_more(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 200"), spark.read.parquet(f"{SF}/labels.parquet")
+    once, thrice = train_quality(docs, labels), train_quality(docs.union(docs).union(docs), labels)
+    assert once.base == thrice.base and all(np.array_equal(a, b) for a, b in zip(once.tables, thrice.tables, strict=True))
