@@ -7,9 +7,26 @@ from pyspark.sql import functions as F
 
 # Languages by extension.
 LANGUAGES = {
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt", "ruby": "rb", "php": "php", "csharp": "cs",
-    "swift": "swift", "c": "c h", "cpp": "cc cpp cxx hpp", "shell": "sh bash zsh", "markdown": "md mdx", "json": "json", "yaml": "yaml yml", "toml": "toml", "sql": "sql",
-}
+    "typescript": ("ts", "tsx", "mts", "cts"),
+    "javascript": ("js", "jsx", "mjs", "cjs"),
+    "python": ("py",),
+    "go": ("go",),
+    "rust": ("rs",),
+    "java": ("java",),
+    "kotlin": ("kt",),
+    "ruby": ("rb",),
+    "php": ("php",),
+    "csharp": ("cs",),
+    "swift": ("swift",),
+    "c": ("c", "h"),
+    "cpp": ("cc", "cpp", "cxx", "hpp"),
+    "shell": ("sh", "bash", "zsh"),
+    "markdown": ("md", "mdx"),
+    "json": ("json",),
+    "yaml": ("yaml", "yml"),
+    "toml": ("toml",),
+    "sql": ("sql",),
+}
 
 # The first pattern that a lower-cased path has decides its role; "source" else.
 ROLES = (
@@ -53,7 +70,7 @@ def language(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(basename(path), r".\.([^.]+)$", 1))
     out = F.lit("text")
     for name, exts in LANGUAGES.items():
-        out = F.when(ext.isin(exts.split()), name).otherwise(out)
+        out = F.when(ext.isin(*exts), name).otherwise(out)
     return out
 
 

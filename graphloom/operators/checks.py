@@ -14,7 +14,7 @@ from .rules import PROGRESS, finding, report
 # Fixed values.
 FILE_EDGES = ("documented_by", "sets_policy_for", "constrains", "risks_in", "enforced_by")
 TYPE_PRIORITY = {"Constraint": 0, "Decision": 1, "OperationalKnowledge": 2, "Risk": 3, "Goal": 4}
-IMPL_EXTENSIONS = "ts tsx mts cts js jsx mjs cjs py go rs java kt rb php cs swift c h cc cpp cxx hpp sh sql vue svelte".split()
+IMPL_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "kt", "rb", "php", "cs", "swift", "c", "h", "cc", "cpp", "cxx", "hpp", "sh", "sql", "vue", "svelte")
 SKIPS = {
     "test-skip": r"\b(it|test|describe)\.(skip|todo)\b", "x-prefix": r"\bx(it|describe|test)\s*\(", "pytest-skip": r"@pytest\.mark\.(skip|skipif|xfail)\b", "unittest-skip": r"@unittest\.skip",
     "go-skip": r"\bt\.Skip(f|Now)?\s*\(", "rust-ignore": r"#\[ignore", "junit-disabled": r"@(Disabled|Ignore)\b", "rspec-pending": r"^\s*(pending|xit)\b", "node-skip": r"\bskip\s*:\s*true\b",
@@ -36,7 +36,7 @@ def file_path(node_path: Column, node_id: Column) -> Column:
 
 def is_impl_path(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(basename(path), r"\.([^.]+)$", 1))
-    return ext.isin(IMPL_EXTENSIONS) & ~F.lower(path).endswith(".d.ts")
+    return ext.isin(*IMPL_EXTENSIONS) & ~F.lower(path).endswith(".d.ts")
 
 
 def file_lines(files: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def cross_component_in_degree(links: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def layer_candidates(links: DataFrame, bands: int = 4, least: int = 4) -> DataFrame:
-    """(path, band): files by how deep their imports go; links must not cycle; small bands are left out."""
+    """(path, band): files by how deep their imports go, those of a cycle alike; small bands are left out."""
     banded = depth_bands(dependency_depth(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), bands)
     large = banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return banded.join(F.broadcast(large), "band", "left_semi").select(F.col("id").alias("path"), "band")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from .similarity import between
 
 POLICY_EDGES = ("sets_policy_for", "constrains", "supersedes", "refines", "has_premise")
 
@@ -64,7 +65,7 @@ def similar_decisions(branch: DataFrame, main: DataFrame, least: float = 0.82, k
     """Added on the two sides with cosine ``least`` or more: (a, b, similarity to 6 places)."""
     a = branch.select(F.col("id").alias("a"), key, vx.unit(F.col("vector")).alias("va"))
     b = main.select(F.col("id").alias("b"), key, vx.unit(F.col("vector")).alias("vb"))
-    pairs = a.join(b, key).filter("a <> b").withColumn("c", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("c") >= least)
+    pairs = between(a, b, key, "a", "b").filter("a <> b").withColumn("c", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("c") >= least)
     return pairs.select("a", "b", F.round("c", 6).alias("similarity"))
 
 

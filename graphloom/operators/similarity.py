@@ -1,6 +1,9 @@
 """Similarity joins over labelled vectors and names.
 
 Pairs are only formed inside a type (an equi-join key), never by a cross join.
+A type's rows are dealt into blocks of about ``BLOCK`` rows, and a pair of
+blocks meets in a task of its own, so that work spreads however few types there
+are and however unevenly they are filled. The result stays exact.
 """
 
 from __future__ import annotations
@@ -16,32 +19,58 @@ from ..functions import vectors as vx
 from ..session import shared_checkpoint
 
 
+#: Rows of a block; with fewer rows a key is one block and nothing is sent twice.
+BLOCK = 2048
+
+
+def _blocks(rows: DataFrame, key: str, id_col: str, name: str) -> DataFrame:
+    """``rows`` with a block number and how many blocks their key has."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_all"))
+    return rows.join(sizes, key).withColumn(name, F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.col(f"{name}_all")).cast("int"))
+
+
+def within(rows: DataFrame, key: str, id_col: str = "a") -> DataFrame:
+    """Unordered pairs of rows of one key, each once: ``key``, and the columns of either row under 1 and 2."""
+    own = _blocks(rows, key, id_col, "_b")
+    names = [c for c in rows.columns if c != key]
+    one = own.select(key, *(F.col(c).alias(f"{c}1") for c in names), F.col("_b").alias("_lo"), F.explode(F.sequence("_b", F.col("_b_all") - 1)).alias("_hi"))
+    two = own.select(key, *(F.col(c).alias(f"{c}2") for c in names), F.explode(F.sequence(F.lit(0), "_b")).alias("_lo"), F.col("_b").alias("_hi"))
+    return one.join(two, [key, "_lo", "_hi"]).filter((F.col("_lo") < F.col("_hi")) | (F.col(f"{id_col}1") < F.col(f"{id_col}2"))).drop("_lo", "_hi")
+
+
+def between(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """Pairs of a left and a right row of one key; other columns must have different names."""
+    sizes = left.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_l_all")).join(right.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_r_all")), key)
+    deal = lambda df, own, n, to, m: df.join(sizes, key).withColumn(own, F.pmod(F.xxhash64(F.col(n).cast("string")), F.col(f"{own}_all")).cast("int")).withColumn(to, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("_l_all", "_r_all")
+    return deal(left, "_l", left_id, "_r", "_r_all").join(deal(right, "_r", right_id, "_l", "_l_all"), [key, "_l", "_r"]).drop("_l", "_r")
+
+
 def vector_pairs(rows: DataFrame, least: float, below: float | None = None, key: str = "type", id_col: str = "id") -> DataFrame:
     """Pairs a < b of one key with cosine in [least, below): a, b, key, similarity (4 places).
 
     Thresholds test the unrounded cosine.
     """
-    own = rows.select(F.col(id_col).alias("a"), F.col(key).alias("key"), vx.unit(F.col("vector")).alias("va"))
-    other = own.select(F.col("a").alias("b"), "key", F.col("va").alias("vb"))
-    pairs = own.join(other, "key").filter("a < b").withColumn("cosine", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least)
+    own = rows.select(F.col(id_col).alias("a"), F.col(key).alias("key"), vx.unit(F.col("vector")).alias("v"))
+    pairs = within(own, "key").filter("a1 <> a2").withColumn("cosine", vx.dot(F.col("v1"), F.col("v2"))).filter(F.col("cosine") >= least)
     if below is not None:
         pairs = pairs.filter(F.col("cosine") < below)
-    return pairs.select("a", "b", F.col("key").alias(key), F.round("cosine", 4).alias("similarity"))
+    return pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), F.col("key").alias(key), F.round("cosine", 4).alias("similarity"))
 
 
 def cross_type_pairs(rows: DataFrame, groups: DataFrame, least: float, id_col: str = "id") -> DataFrame:
     """Pairs a < b of different types of one group: ``groups`` has (type, family)."""
-    own = rows.join(F.broadcast(groups), "type").select(F.col(id_col).alias("a"), F.col("type").alias("type_a"), "family", vx.unit(F.col("vector")).alias("va"))
-    other = own.select(F.col("a").alias("b"), F.col("type_a").alias("type_b"), "family", F.col("va").alias("vb"))
-    pairs = own.join(other, "family").filter("a < b and type_a <> type_b").withColumn("cosine", vx.dot(F.col("va"), F.col("vb")))
-    return pairs.filter(F.col("cosine") >= least).select("a", "b", "type_a", "type_b", F.round("cosine", 4).alias("similarity"))
+    own = rows.join(groups, "type").select(F.col(id_col).alias("a"), F.col("type").alias("type"), "family", vx.unit(F.col("vector")).alias("v"))
+    pairs = within(own, "family").filter("a1 <> a2 and type1 <> type2").withColumn("cosine", vx.dot(F.col("v1"), F.col("v2"))).filter(F.col("cosine") >= least)
+    first = F.col("a1") < F.col("a2")
+    types = [F.when(first, F.col("type1")).otherwise(F.col("type2")).alias("type_a"), F.when(first, F.col("type2")).otherwise(F.col("type1")).alias("type_b")]
+    return pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), *types, F.round("cosine", 4).alias("similarity"))
 
 
 def top_matches(left: DataFrame, right: DataFrame, key: str, least: float, top: int) -> DataFrame:
     """For each left (id, vector) its ``top`` most similar right rows of the same key: id, match, similarity, rank."""
     a = left.select(F.col("id"), F.col(key), vx.unit(F.col("vector")).alias("va"))
     b = right.select(F.col("id").alias("match"), F.col(key), vx.unit(F.col("vector")).alias("vb"))
-    pairs = a.join(b, key).filter("id <> match").withColumn("cosine", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least).drop("va", "vb")
+    pairs = between(a, b, key, "id", "match").filter("id <> match").withColumn("cosine", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least).drop("va", "vb")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "match")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "match", F.round("cosine", 4).alias("similarity"), "rank")
 

@@ -129,17 +129,71 @@ def label_propagation_exact(links: DataFrame, graph_col: str, rounds: int = 30,
     return links.select(graph_col, "a", "b").groupBy(graph_col).applyInPandas(solve, f"{graph_col} {kind}, node {node}, label {node}")
 
 
+def _core(links: DataFrame) -> DataFrame:
+    """Of links (src, dst) those that can lie on a cycle: ends without links in or out go, until none is left."""
+    core, before = links, links.count()
+    while before:
+        core = shared_checkpoint(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        after = core.count()
+        if after == before:
+            break
+        before = after
+    return core
+
+
+def _spread(start: DataFrame, links: DataFrame, value: str) -> DataFrame:
+    """(id, value): the least value that reaches each id of ``start`` along links (src, dst)."""
+    own = shared_checkpoint(start)
+    while True:
+        sent = links.join(own.select(F.col("id").alias("src"), value), "src").groupBy(F.col("dst").alias("id")).agg(F.min(value).alias("sent"))
+        moved = shared_checkpoint(own.join(sent, "id").filter(F.col("sent") < F.col(value)).select("id", "sent"))
+        if moved.isEmpty():
+            return own
+        own = shared_checkpoint(own.join(moved, "id", "left").select("id", F.coalesce("sent", value).alias(value)))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, part) for every node: nodes on common cycles share a part, named by one of them; others are their own.
+
+    Ends that no cycle can pass are peeled off first, so that a graph without
+    cycles takes as many rounds as its longest path. Of the rest, each node
+    takes the least id that reaches it; the nodes that reach back to the one so
+    named are its part. Rounds grow with the longest path inside a part.
+    """
+    links = shared_checkpoint(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    found = None
+    core = _core(links.filter("src <> dst"))
+    while not core.isEmpty():
+        ends = core.select(F.col("src").alias("id")).union(core.select("dst")).distinct()
+        color = _spread(ends.select("id", F.col("id").alias("color")), core, "color")
+        inside = core.join(color.select(F.col("id").alias("src"), "color"), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("other")), "dst").filter("color = other")
+        back = shared_checkpoint(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = _spread(color.select("id", F.when(F.col("id") == F.col("color"), 0).otherwise(1).alias("far")), back, "far").filter("far = 0").select("id")
+        part = shared_checkpoint(color.join(reached, "id", "left_semi").select("id", F.col("color").alias("part")))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("id")
+        core = _core(core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    return nodes.withColumn("part", F.col("id")) if found is None else nodes.join(found, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+
+
 def dependency_depth(edges: DataFrame, bound: int = 64) -> DataFrame:
-    """(id, depth): longest path of src-to-dst edges below each node; ValueError if a cycle or ``bound`` is met."""
-    links = shared_checkpoint(edges.select("src", "dst").distinct())
-    depths = shared_checkpoint(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().withColumn("depth", F.lit(0)))
-    for step in range(1, bound + 1):
+    """(id, depth): longest path of src-to-dst edges below each node; ValueError if a path is longer than ``bound``.
+
+    Edges inside a cycle add nothing: its nodes are as deep as what lies below
+    any of them.
+    """
+    part = shared_checkpoint(strong_components(edges))
+    named = edges.select("src", "dst").join(part.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst")
+    links = shared_checkpoint(named.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    depths = shared_checkpoint(part.select(F.col("part").alias("id")).distinct().withColumn("depth", F.lit(0)))
+    for step in range(1, bound + 2):
         deeper = links.join(depths.filter(F.col("depth") == step - 1).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("to", F.lit(step))
         deeper = shared_checkpoint(deeper)
         if deeper.isEmpty():
-            return depths
+            return part.join(depths.withColumnRenamed("id", "part"), "part").select("id", "depth")
         depths = shared_checkpoint(depths.join(deeper, "id", "left").select("id", F.coalesce("to", "depth").alias("depth")))
-    raise ValueError("a cycle, or a path longer than the bound")
+    raise ValueError("a path longer than the bound")
 
 
 def depth_bands(depths: DataFrame, bands: int = 4) -> DataFrame:

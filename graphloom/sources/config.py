@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
@@ -134,3 +135,40 @@ def load_plan(spark: SparkSession, raw: str) -> dict:
         "successors": spark.createDataFrame(successors, "old string, new string"),
         "duplicate_ack": list(plan.get("duplicate_ack", [])),
     }
+
+
+def vault_mode(local: dict[str, str], inherited: dict[str, str], name: str = "VAULT_MODE") -> tuple[str | None, str]:
+    """(mode, whence): readonly or direct, from the folder's own settings (local) or from those above it (inherited).
+
+    Values that aren't known count as unset (none).
+    """
+    for whence, settings in (("local", local), ("inherited", inherited)):
+        if settings.get(name) in ("readonly", "direct"):
+            return settings[name], whence
+    return None, "none"
+
+
+def assert_write_allowed(mode: str | None, whence: str, external: bool) -> None:
+    """PermissionError where writing to a vault is not wanted: a readonly one, or one outside without a mode decided here."""
+    if mode == "readonly":
+        raise PermissionError("the vault is set to readonly")
+    if external and (mode is None or whence != "local"):
+        raise PermissionError("the vault lies outside: set its mode to direct or readonly in this folder first")
+
+
+def index_paths(vault: str, explicit: str | None, mode: str | None, own_cache: str, exists) -> tuple[str, str]:
+    """(read, write) folders of a vault's index.
+
+    An explicit one is both. Else the index is in the vault's cache, or where
+    it used to be if only that exists; a readonly vault's is written to the
+    reader's own cache and read from there once it exists.
+    """
+    if explicit:
+        return explicit, explicit
+    base = vault.rstrip("/")
+    now, old = f"{base}/.cache/vectors", f"{base}/.vectors"
+    read = now if exists(now) or not exists(old) else old
+    if mode != "readonly":
+        return read, now
+    own = f"{own_cache.rstrip('/')}/{hashlib.sha256(base.encode()).hexdigest()[:16]}/vectors"
+    return (own if exists(own) or not exists(read) else read), own

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -65,3 +67,25 @@ class AddedLines:
                 at += 1
             elif path is not None and line.startswith(" "):
                 at += 1
+
+
+def _git(root: str, *args: str) -> list[str]:
+    out = subprocess.run(["git", "-C", root, "-c", "core.quotepath=false", *args], check=True, capture_output=True, text=True).stdout
+    return [x for x in out.split("\0") if x]
+
+
+def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+
+
+def tracked_files(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """(path) of a work tree's tracked files, or of those right in ``folder``."""
+    found = _git(root, "ls-files", "-z")
+    return _paths(spark, found if folder is None else [p for p in found if (p.rpartition("/")[0] or ".") == folder])
+
+
+def changed_files(spark: SparkSession, root: str, revisions: str | None = None) -> DataFrame:
+    """(path) that a range of revisions changed; without one, what the work tree changed since its head, new files included."""
+    if revisions is not None:
+        return _paths(spark, _git(root, "diff", "-z", "--name-only", revisions))
+    return _paths(spark, _git(root, "diff", "-z", "--name-only", "HEAD") + _git(root, "ls-files", "-z", "--others", "--exclude-standard"))
