@@ -121,17 +121,16 @@ def _confirm(width: int, percent: int):
 
 
 def _confirmed(some: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``some`` whose whole sets are similar enough; ``read`` has their texts.
+    """The pairs (lead, other) of ``some`` whose whole sets are similar enough, as (a, b); ``read`` has their texts.
 
-    The end with more partners leads. Its text goes out once per ``FAN``
-    partners, and theirs once per pair, so that no task depends on a lead.
+    A lead's text goes out once per ``FAN`` partners, and theirs once per pair,
+    so that no task depends on a lead.
     """
-    both = some.select(F.col("a").alias("lead"), F.col("b").alias("other")).union(some.select("b", "a"))
-    degree = shared_checkpoint(both.groupBy("lead").agg(F.count("*").alias("k")))
-    sized = some.join(degree.select(F.col("lead").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("lead").alias("b"), F.col("k").alias("kb")), "b")
-    first = F.struct("ka", "a") > F.struct("kb", "b")
-    dealt = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("ka", "kb").alias("k"))
-    dealt = shared_checkpoint(dealt.select("lead", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / FAN)).alias("part")))
+    some = shared_checkpoint(some.select("lead", "other"))
+    if some.isEmpty():
+        return some.select(F.col("lead").alias("a"), F.col("other").alias("b"))
+    many = some.groupBy("lead").agg(F.count("*").alias("k"))
+    dealt = shared_checkpoint(some.join(many, "lead").select("lead", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / FAN)).alias("part")))
     own = dealt.select("lead", "part").distinct().join(read.withColumnRenamed("row", "lead"), "lead").select("lead", "part", F.lit(None).cast("long").alias("other"), "text")
     theirs = dealt.join(read.withColumnRenamed("row", "other"), "other").select("lead", "part", "other", "text")
     met = own.union(theirs).repartition("lead", "part").sortWithinPartitions("lead", "part", F.asc_nulls_first("other"))
@@ -235,23 +234,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = texts_of(ends(candidates).union(large.select("c")).distinct())  # the one time that texts move to their rows
     # Each document's likeliest partner first; then only what joins two components.
     seen = candidates.select(F.col("a").alias("c"), F.col("b").alias("o"), "agree").union(candidates.select("b", "a", "agree"))
-    likely = seen.groupBy("c").agg(F.max_by("o", F.struct("agree", -F.col("o"))).alias("o")).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    likely = shared_checkpoint(likely)
-    links = _confirmed(likely, read, width, percent)
-    parts = shared_checkpoint(connected_components(links))
-    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    rest = candidates.select("a", "b").join(likely, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = shared_checkpoint(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    links = links.union(_confirmed(rest, read, width, percent))
-    # Larger buckets whose members are still in several components.
-    parts = shared_checkpoint(connected_components(links))
+    likely = seen.groupBy("c").agg(F.max_by("o", F.struct("agree", -F.col("o"))).alias("o"))
+    likely = likely.groupBy(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).agg(F.max("o").alias("lead"))
+    likely = shared_checkpoint(likely.select("a", "b", "lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")))
+    parts = connected_components(_confirmed(likely, read, width, percent))
     facts = shared_checkpoint(nodes.select("c", "n").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp")))
+
+    def across(some: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components, which come along as ca and cb."""
+        of = lambda end: facts.select(F.col("c").alias(end), F.col("comp").alias(f"c{end}"))
+        return some.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb")
+
+    def joined(facts: DataFrame, links: DataFrame) -> DataFrame:
+        """``facts`` with the components that links join made one: a graph of components, mostly a small one."""
+        links = shared_checkpoint(across(links, facts).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if links.isEmpty():
+            return facts
+        top = connected_components(links).select(F.col("node").alias("comp"), F.col("component").alias("top"))
+        return shared_checkpoint(facts.join(top, "comp", "left").select("c", "n", F.coalesce("top", "comp").alias("comp")))
+
+    rest = across(candidates.select("a", "b").join(likely, ["a", "b"], "left_anti"), facts)
+    facts = joined(facts, _confirmed(rest.select(F.col("a").alias("lead"), F.col("b").alias("other")), read, width, percent))
+    # Larger buckets whose members are still in several components.
     placed = large.select("key", "c").join(facts.select("c", "comp"), "c")
     mixed = shared_checkpoint(placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key"))
-    open_texts = read.join(large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct(), "row", "left_semi")
-    late = agreeing(_similar_prefixes(open_texts, facts, width, percent)).select("a", "b")
-    whole = connected_components(links.union(_confirmed(late, open_texts, width, percent)))
-    labelled = classed.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").select("row", F.coalesce("component", "c").alias("part"))
+    if not mixed.isEmpty():
+        open_rows = large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct()
+        open_texts = shared_checkpoint(read.join(open_rows, "row", "left_semi"))
+        late = agreeing(_similar_prefixes(open_texts, facts, width, percent))
+        facts = joined(facts, _confirmed(late.select(F.col("a").alias("lead"), F.col("b").alias("other")), open_texts, width, percent))
+    labelled = classed.join(facts.select("c", F.col("comp").alias("part")), "c").select("row", "part")
     final = sketches.select("row", "id", "no_id", "th", "n").join(labelled, "row", "left").select("row", "id", "no_id", "th", "n", F.coalesce("part", "row").alias("part"))
     first = shared_checkpoint(final.groupBy("part").agg(F.min(F.struct("id", "row", "no_id")).alias("first")))
     return final.join(first, "part").select(
