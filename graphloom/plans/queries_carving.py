@@ -21,8 +21,8 @@ CARVED_NODES_SQL = f"""
 """
 _PART_ID = f"'file:t:' || {_PATH}"
 CARVED_EDGES_SQL = f"""
-    SELECT DISTINCT 'component:t:' || CASE WHEN l_suppkey % 10 = 0 THEN 'c' ELSE 'comp-' END || l_suppkey AS src, 'evidenced_by' AS type, {_PART_ID} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0
-    UNION ALL SELECT DISTINCT 'concern:t:' || s_nationkey, 'evidenced_by', {_PART_ID} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 100 = 0
+    SELECT DISTINCT 'component:t:' || CASE WHEN l_suppkey % 10 = 0 THEN 'c' ELSE 'comp-' END || l_suppkey AS src, 'evidenced_by' AS type, {_PART_ID} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL SELECT DISTINCT 'concern:t:' || s_nationkey, 'evidenced_by', {_PART_ID} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
     UNION ALL SELECT 'layer:t:' || CASE WHEN p_partkey % 5 % 2 = 0 THEN 'band' ELSE 'lay-' END || (p_partkey % 5), 'evidenced_by', {_PART_ID} FROM part WHERE p_partkey % 3 = 0
     UNION ALL SELECT 'k:t:' || c_custkey, 'has_premise', 'k:t:' || (c_custkey + 1) FROM customer WHERE c_custkey % 3 = 0
     UNION ALL SELECT 'k:t:' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'sets_policy_for' ELSE 'risks_in' END, 'concern:t:' || (c_custkey % 25) FROM customer WHERE c_custkey % 6 < 2
@@ -53,10 +53,10 @@ def carved(spark, sf_dir) -> KnowledgeGraph:
         table(spark, sf_dir, "region").select(layer(F.col("r_regionkey")), F.lit("Layer"), none, none, F.col("r_name"), none, none, no),
         customer.select(know(c), kind, none, none, F.col("c_name"), F.when(c % 12 == 0, "superseded").when(c % 20 == 3, "abandoned"), F.when(c % 5 == 0, " ").otherwise(F.col("c_mktsegment")), no),
     ]
-    sold = item.filter("l_orderkey % 50 = 0").select("l_orderkey", "l_suppkey", F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", "file"), "p_partkey")
+    sold = item.select("l_orderkey", "l_suppkey", F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", "file"), "p_partkey")
     edge_parts = [
         sold.select(component("l_suppkey"), F.lit("evidenced_by"), "file").distinct(),
-        sold.filter("l_orderkey % 100 = 0").join(supplier, F.col("l_suppkey") == s).select(F.concat(F.lit("concern:t:"), "s_nationkey"), F.lit("evidenced_by"), "file").distinct(),
+        sold.join(supplier, F.col("l_suppkey") == s).select(F.concat(F.lit("concern:t:"), "s_nationkey"), F.lit("evidenced_by"), "file").distinct(),
         part.filter("p_partkey % 3 = 0").select(layer(key % 5), F.lit("evidenced_by"), "file"),
         customer.filter(c % 3 == 0).select(know(c), F.lit("has_premise"), know(c + 1)),
         customer.filter(c % 6 < 2).select(know(c), F.when(c % 2 == 0, "sets_policy_for").otherwise("risks_in"), F.concat(F.lit("concern:t:"), c % 25)),
@@ -148,7 +148,7 @@ def carving_knowledge(spark, sf_dir):
     return carving.knowledge_rules(g.nodes, g.edges).drop("detail")
 
 
-_FRAME_PATHS = "SELECT DISTINCT 'src/d' || (l_partkey % 60) || '/f' || l_partkey || CASE l_partkey % 11 WHEN 0 THEN '.md' WHEN 1 THEN '.env' ELSE '.ts' END AS path FROM lineitem WHERE l_orderkey % 20 = 1"
+_FRAME_PATHS = "SELECT DISTINCT 'src/d' || (l_partkey % 60) || '/f' || l_partkey || CASE l_partkey % 11 WHEN 0 THEN '.md' WHEN 1 THEN '.env' ELSE '.ts' END AS path FROM lineitem"
 
 
 @query(
@@ -162,7 +162,7 @@ _FRAME_PATHS = "SELECT DISTINCT 'src/d' || (l_partkey % 60) || '/f' || l_partkey
 def frame_status(spark, sf_dir):
     key = F.col("l_partkey")
     path = F.concat(F.lit("src/d"), key % 60, F.lit("/f"), key, F.when(key % 11 == 0, ".md").when(key % 11 == 1, ".env").otherwise(".ts"))
-    paths = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 1").select(path.alias("path"))
+    paths = table(spark, sf_dir, "lineitem").select(path.alias("path"))
     return checks.frame_entries(carved(spark, sf_dir), paths)
 
 

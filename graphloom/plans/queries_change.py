@@ -183,20 +183,6 @@ def stream_session(spark, sf_dir):
     return state.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "12 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
-def vault_roundtrip(spark, sf_dir):
-    """Orders and customers written as Markdown text and parsed again: what either side lacks (nothing)."""
-    from ..graph import KnowledgeGraph
-    from ..sources import vault
-
-    own = nodes(spark, sf_dir).filter(F.col("type").isin("Customer", "Nation", "Region")).select("id", "type", "title", "summary", "state")
-    links = edges(spark, sf_dir).filter("src like 'c:%' or src like 'n:%'").select("id", "type", "src", "dst")
-    read = vault.parse_files(vault.render_files(KnowledgeGraph(own, links)))
-    nodes_back = vault.nodes_of(read, ("title", "summary", "state"))
-    lost = di.lost_rows(own, nodes_back).select("id", "side").withColumn("kind", F.lit("node"))
-    return lost.unionByName(di.lost_rows(links, vault.edges_of(read)).select("id", "side").withColumn("kind", F.lit("edge")))
-
-
 @query(f"""
     SELECT id, type, title, 'cleanup' AS reason, TIMESTAMP '1996-06-01' AS deleted_at, '1996-06' AS month, (SELECT count(*) FROM ({EDGES_SQL}) e WHERE (e.src = n.id OR e.dst = n.id)) AS cascaded FROM ({NODES_SQL}) n WHERE type = 'Supplier'
 """)

@@ -154,14 +154,39 @@ def parent_cycle(spark, sf_dir):
     return tr.successor_chain(own, 64).select("id", "cyclic")
 
 
-@query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 13 AS src, l_orderkey % 13 + 1 + l_partkey % 7 AS dst FROM lineitem),
-    d(id, depth) AS (SELECT dst, 0 FROM e UNION SELECT src, 0 FROM e UNION SELECT e.src, d.depth + 1 FROM d JOIN e ON e.dst = d.id)
-    SELECT id, max(depth) AS depth FROM d GROUP BY id
+#: Parts as a tree of eight children a node, in which parts 3, 4 and 5 import each other in a ring.
+_IMPORTS_SQL = "SELECT p_partkey::BIGINT AS src, (p_partkey // 8)::BIGINT AS dst FROM part WHERE p_partkey >= 8 UNION ALL SELECT p_partkey, CASE p_partkey WHEN 5 THEN 3 ELSE p_partkey + 1 END FROM part WHERE p_partkey BETWEEN 3 AND 5"
+
+
+def _imports(spark, sf_dir):
+    key = F.col("p_partkey").cast("long")
+    part = table(spark, sf_dir, "part")
+    tree = part.filter("p_partkey >= 8").select(key.alias("src"), F.floor(key / 8).alias("dst"))
+    return tree.union(part.filter("p_partkey between 3 and 5").select(key, F.when(key == 5, 3).otherwise(key + 1)))
+
+
+@query(f"""
+    WITH RECURSIVE i AS ({_IMPORTS_SQL}),
+    e AS (SELECT CASE WHEN src BETWEEN 3 AND 5 THEN 3 ELSE src END AS src, CASE WHEN dst BETWEEN 3 AND 5 THEN 3 ELSE dst END AS dst FROM i),
+    d(id, depth) AS (SELECT dst, 0 FROM e UNION SELECT src, 0 FROM e UNION SELECT e.src, d.depth + 1 FROM d JOIN e ON e.dst = d.id WHERE e.src <> e.dst)
+    SELECT n.id, max(depth) AS depth FROM (SELECT src AS id FROM i UNION SELECT dst FROM i) n JOIN d ON d.id = CASE WHEN n.id BETWEEN 3 AND 5 THEN 3 ELSE n.id END GROUP BY n.id
 """)
 def dependency_depth(spark, sf_dir):
-    src = F.col("l_orderkey") % 13
-    return tr.dependency_depth(table(spark, sf_dir, "lineitem").select(src.alias("src"), (src + 1 + F.col("l_partkey") % 7).alias("dst")), bound=128)
+    return tr.dependency_depth(_imports(spark, sf_dir))
+
+
+@query(f"SELECT id, CASE WHEN id BETWEEN 3 AND 5 THEN 3 ELSE id END AS part FROM (SELECT src AS id FROM ({_IMPORTS_SQL}) UNION SELECT dst FROM ({_IMPORTS_SQL}))")
+def strong_components(spark, sf_dir):
+    return tr.strong_components(_imports(spark, sf_dir))
+
+
+@query("""
+    WITH d AS (SELECT p_partkey AS id, floor(log10(p_partkey + 0.5))::INTEGER AS depth FROM part WHERE p_partkey > 0)
+    SELECT id, depth, least(depth * 4 // (SELECT max(depth) + 1 FROM d), 3)::INTEGER AS band FROM d
+""")
+def depth_bands(spark, sf_dir):
+    digits = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("id"), (F.length(F.col("p_partkey").cast("string")) - 1).alias("depth"))
+    return tr.depth_bands(digits)
 
 
 @query()
