@@ -189,9 +189,15 @@ def depth_bands(spark, sf_dir):
     return tr.depth_bands(digits)
 
 
-@query()
+_ROUNDS = 10
+_LABELS_SQL = f"WITH e AS MATERIALIZED (SELECT id AS a, match AS b FROM ({KNN_SQL}) UNION SELECT match, id FROM ({KNN_SQL})), l0 AS (SELECT DISTINCT a AS node, a AS label FROM e)" + "".join(
+    f", l{k} AS MATERIALIZED (SELECT node, first(label ORDER BY n DESC, label) AS label FROM (SELECT a AS node, label, count(*) AS n FROM e JOIN l{k - 1} ON node = b GROUP BY ALL) GROUP BY node)" for k in range(1, _ROUNDS + 1)
+)
+
+
+@query(f"{_LABELS_SQL} SELECT node, label FROM l{_ROUNDS}")
 def label_propagation(spark, sf_dir):
-    return tr.label_propagation(knn(spark, sf_dir).select(F.col("id").alias("a"), F.col("match").alias("b")))
+    return tr.label_propagation(knn(spark, sf_dir).select(F.col("id").alias("a"), F.col("match").alias("b")), _ROUNDS)
 
 
 @query()
