@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as se
+from ..operators import world
 from .projection import VECTORS_SQL, edges, nodes, table, vectors
 from .registry import query
 
@@ -134,19 +135,21 @@ def evidence_context(spark, sf_dir):
     return around.join(F.broadcast(top), F.col("src") == F.col("id")).select("id", "score", "type", "src", "dst")
 
 
-@query(f"""
-    WITH p AS (SELECT source AS id, {NORM_SQL.format("string_agg(lang, ' ' ORDER BY doc_id)")} AS langs, count(*) AS n, avg(n_chars) AS chars FROM documents GROUP BY source),
-    s AS (SELECT id, n, round(100.0 * (len(langs) - len(replace(langs, 'de', ''))) / 2 / n, 3) AS score FROM p)
-    SELECT id, n, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, round(score - lead(score) OVER (ORDER BY score DESC, id), 3) AS gap FROM s ORDER BY score DESC, id LIMIT 3
-""")
-def world_hints(spark, sf_dir):
-    from pyspark.sql import Window
+_HINTS = f"""
+    WITH p AS (SELECT source, first(text ORDER BY doc_id) AS text FROM documents WHERE source IS NOT NULL GROUP BY source),
+    h AS (SELECT source AS slug, trim({NORM_SQL.format("source")} || ' ' || {NORM_SQL.format("text")}) AS hay FROM p),
+    s AS (SELECT slug, round(100 * greatest({_COVER}, {_NGRAM}), 3) AS score FROM h),
+    r AS (SELECT slug, score, row_number() OVER (ORDER BY score DESC, slug) AS rank, round(score - lead(score) OVER (ORDER BY score DESC, slug), 3) AS gap FROM s WHERE score > 0)
+    SELECT slug, score, rank::INTEGER AS rank, gap AS gap_above_next, CASE WHEN rank = 1 AND score >= 40 AND coalesce(gap, score) >= 15 THEN 'high' ELSE 'low' END AS confidence FROM r WHERE rank <= 3
+"""
+
 
-    profile = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "de").alias("k"))
-    scored = profile.select("id", "n", F.round(F.col("k") * 100.0 / F.col("n"), 3).alias("score"))
-    top = scored.orderBy(F.desc("score"), "id").limit(4)
-    order = Window.orderBy(F.desc("score"), "id")
-    return top.select("id", "n", "score", F.row_number().over(order).alias("rank"), F.round(F.col("score") - F.lead("score").over(order), 3).alias("gap")).orderBy("rank").limit(3)
+@query(_HINTS)
+def world_hints(spark, sf_dir):
+    """Each source as a graph of its own, told by its first document."""
+    first = table(spark, sf_dir, "documents").filter("source is not null").groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
+    profiles = first.select(F.col("source").alias("slug"), F.col("source").alias("name"), F.col("text").alias("description"))
+    return world.world_hints(profiles, QUESTION)
 
 
 @query("""

@@ -51,29 +51,56 @@ def counted_asks(asks: DataFrame, key: str, ttl_ms: int = 24 * 3600 * 1000) -> D
     return asks.groupBy(key).applyInPandasWithState(bump, f"fingerprint {kind}, calls long", "calls long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def merge_latest(spark, target: str, key: str, when: str):
-    """A foreachBatch sink that keeps the last row per key in a Parquet folder, by new versions and a pointer.
-
-    Each batch writes a whole new version before the pointer row names it, so
-    readers see one version or the other; a batch that is run again overwrites
-    its own version.
+def _pointer(spark, target: str) -> dict[int, int]:
+    """Bucket to the version that holds it; at most as many entries as there are buckets."""
+    try:
+        rows = spark.read.parquet(f"{target}/pointer").groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    except Exception as e:  # the first batch has no pointer yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+    return {r.bucket: r.version for r in rows}
+
+
+def read_latest(spark, target: str) -> DataFrame:
+    """The rows that :func:`merge_latest` holds in ``target``."""
+    held = [f"{target}/version={v}/bucket={b}" for b, v in _pointer(spark, target).items() if b >= 0]
+    if not held:
+        raise ValueError(f"nothing merged into {target}")
+    return spark.read.option("basePath", target).parquet(*held).drop("version", "bucket")
+
+
+def merge_latest(spark, target: str, key: str, when: str, buckets: int = 64):
+    """A foreachBatch sink that keeps the last row per key in Parquet, in ``buckets`` by a hash of the key.
+
+    A batch rewrites the buckets it touches and no others, in a new version,
+    and then names them in the pointer, so that readers see a bucket before or
+    after. A batch that is run again does nothing, or writes its own version
+    anew. Of rows of one key and time the one whose JSON is greatest stays. A
+    bucket's version before the last is removed with the next one.
     """
     from pyspark.sql import Window
 
     def sink(batch: DataFrame, number: int) -> None:
-        rows = batch
-        try:
-            known = spark.read.parquet(f"{target}/pointer").agg(F.max("version")).first()[0]
-        except Exception as e:  # the first batch has no pointer yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        if known is not None and known >= number:
+        known = _pointer(spark, target)
+        if known and (made := spark.read.parquet(f"{target}/pointer").first().buckets) != buckets:
+            raise ValueError(f"{target} has {made} buckets, not {buckets}")
+        if max(known.values(), default=-1) >= number:
             return
-        if known is not None:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/v{known}"))
-        order = Window.partitionBy(key).orderBy(F.desc(when))
-        rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{target}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{target}/pointer")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+        touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+        held = [f"{target}/version={known[b]}/bucket={b}" for b in touched if b in known]
+        if held:
+            rows = rows.unionByName(spark.read.option("basePath", target).parquet(*held).select(*rows.columns))
+        order = Window.partitionBy(key).orderBy(F.desc(when), F.desc(F.to_json(F.struct(*sorted(batch.columns)))))
+        last = rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        last.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
+        # A batch without rows still leaves its number, under no bucket.
+        spark.createDataFrame([(number, b, buckets) for b in touched or [-1]], "version long, bucket int, buckets int").coalesce(1).write.mode("append").parquet(f"{target}/pointer")
+        for b in touched:
+            older = [r.version for r in spark.read.parquet(f"{target}/pointer").filter(F.col("bucket") == b).orderBy(F.desc("version")).limit(3).collect()][2:]
+            for version in older:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={version}/bucket={b}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return sink

@@ -369,8 +369,18 @@ def test_streams(spark, tmp_path):
     batch = state.tumbling(spark.read.parquet(src), "ts", "key", "value", "10 minutes")
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, batch.collect()))
     target = str(tmp_path / "merged")
-    run(stream.writeStream.foreachBatch(state.merge_latest(spark, target, "key", "ts")))
-    assert [r.value for r in spark.read.parquet(f"{target}/v0").collect()] == [3.0]
+    run(stream.writeStream.foreachBatch(state.merge_latest(spark, target, "key", "ts", 4)))
+    assert [r.value for r in state.read_latest(spark, target).collect()] == [3.0]
+    sink = state.merge_latest(spark, target, "key", "ts", buckets=4)
+    rows = lambda *x: spark.createDataFrame(x, schema)
+    late = state.read_latest(spark, target).first().ts
+    for number in (1, 2, 3, 3):
+        sink(rows((late, "k", 3.0 + number), (late, f"other{number}", 3.0)), number)
+    sink(stream.sparkSession.createDataFrame([], schema), 4)
+    with pytest.raises(ValueError, match="has 4 buckets"):
+        state.merge_latest(spark, target, "key", "ts", 8)(rows((late, "k", 9.0)), 5)
+    kept = {r.key: r.value for r in state.read_latest(spark, target).collect()}
+    assert kept == {"k": 6.0, "other1": 3.0, "other2": 3.0, "other3": 3.0}
     # Timeouts by processing time keep a query going, so this one is stopped once it has answered.
     asked = state.counted_asks(stream, "key").writeStream.outputMode("update").format("memory").queryName("asked").start()
     until = time.time() + 90
