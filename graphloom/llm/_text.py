@@ -29,10 +29,16 @@ _powers = np.ones(1, dtype=U64)
 _inverses = np.ones(1, dtype=U64)
 
 
-def limit_arrow_batches(spark, max_bytes: int = 4 << 20) -> None:
-    """Keep Arrow batches small enough that long texts never fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+def limit_arrow_batches(spark, max_bytes: int = 4 << 20, max_rows: int = 512) -> None:
+    """Keep Arrow batches small enough that long texts never fill a worker.
+
+    Plans are lazy, so the session's limits must still hold when they run:
+    larger ones are lowered for good, smaller ones are left alone.
+    """
+    own = spark._jsparkSession.sessionState().conf()
+    for name, now, most in (("maxBytesPerBatch", own.arrowMaxBytesPerBatch(), max_bytes), ("maxRecordsPerBatch", own.arrowMaxRecordsPerBatch(), max_rows)):
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -95,7 +95,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parsed = shared_checkpoint(source.mapInArrow(_recipes(bits, least, most), SCHEMA).withColumn("row", F.monotonically_increasing_id()))
     chunks = parsed.select("row", F.posexplode("chunks").alias("seq", "chunk")).select("row", "seq", "chunk.fp", "chunk.strong")
     # A content per identifier: distinct contents of a fingerprint, combined before the shuffle.
-    names = chunks.groupBy("fp").agg(F.sort_array(F.collect_set("strong")).alias("contents"))
+    # Tables of their own, here and below: a join of two tables may split a common key's rows, one of an aggregate may not.
+    names = shared_checkpoint(chunks.groupBy("fp").agg(F.sort_array(F.collect_set("strong")).alias("contents")))
     recipes = (
         chunks.join(names, "fp")
         .select("row", F.struct("seq", "fp", F.array_position("contents", F.col("strong")).alias("ordinal")).alias("c"))
@@ -103,7 +104,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: F.struct(c.fp, c.ordinal)).alias("recipe"))
     )
     listed = parsed.select("row", "id", "no_id", "th", "n_bytes", "text_sha256").join(recipes, "row")
-    groups = listed.groupBy("recipe").agg(F.max(F.struct("id", (-F.col("row")).alias("back"), "no_id")).alias("best"), F.count("*").alias("group_size"))
+    listed = shared_checkpoint(listed)
+    groups = shared_checkpoint(listed.groupBy("recipe").agg(F.max(F.struct("id", (-F.col("row")).alias("back"), "no_id")).alias("best"), F.count("*").alias("group_size")))
     out = listed.join(groups, "recipe")
     return out.select(
         F.when(~F.col("no_id"), F.col("id")).alias(id_col),
