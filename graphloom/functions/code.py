@@ -86,6 +86,10 @@ def symbols(lang: Column, text: Column, kind: str) -> Column:
         if patterns[kind]:
             names = [name, *(k for k, v in SAME_SYMBOLS.items() if v == name)]
             out = F.when(lang.isin(names), F.regexp_extract_all(text, F.lit(patterns[kind]), F.lit(1))).otherwise(out)
+    if kind == "exported":  # lists: a name and what it is called outside, of which the first counts
+        lists = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"export\s*\{([^}]+)\}"), F.lit(1)), lambda x: F.split(x, ",")))
+        named = F.transform(lists, lambda x: F.regexp_extract(x, r"^\s*([^\s,]*)", 1))
+        out = F.when(lang.isin("typescript", "javascript"), F.concat(out, named)).otherwise(out)
     return F.slice(F.array_distinct(F.filter(out, lambda x: x != "")), 1, MOST_SYMBOLS)
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import cli
+from graphloom.functions import code
 from graphloom.graph import KnowledgeGraph
 from graphloom.operators import assist, diff, merge, normalize, similarity, traverse
 from graphloom.schema import SYSTEM
@@ -270,3 +271,12 @@ def test_lines_are_written_as_blocks(spark, tmp_path):
     vault.write_files(files, str(tmp_path))
     read = vault.nodes_of(vault.parse_files(vault.read_files(spark, str(tmp_path))), ("title", "summary"))
     assert {r.id: r.summary for r in read.collect()} == {f"goal:s:n{k}": x for k, x in enumerate(texts)}
+
+
+def test_export_lists(spark):
+    text = "export function d() {}\nexport { a, b as c };\nexport {\n  e,\n  d as f,\n}\n"
+    df = spark.createDataFrame([("typescript", text), ("python", "def a():\n  x = 'export { b }'\n")], "lang string, text string")
+    assert [r[0] for r in df.select(code.symbols(F.col("lang"), F.col("text"), "exported")).collect()] == [["d", "a", "b", "e"], ["a"]]
+    paths = {"src/config/x.test.ts": "test", "docs/a.json": "documentation", "README.md": "documentation", "src/pages/index.tsx": "ui_component", "api/index.ts": "api_route", "src/main.py": "entrypoint", ".env": "config", "a/types.ts": "config", "a/b.ts": "source"}
+    roles = spark.createDataFrame([(p,) for p in paths], "path string").select("path", code.role(F.col("path")).alias("role"))
+    assert {r.path: r.role for r in roles.collect()} == paths
