@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 
@@ -28,17 +29,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def shuffle_cleanup(spark: SparkSession):
+    """While it lasts, a query's shuffle files go when the query ends; then the session's setting is as before."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, whatever executors are lost.
 
     The shuffle files that led to it are removed at once: nothing reads them
     again, and iterations would pile them up until the driver collects garbage.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    checkpoint_dir(df.sparkSession)
+    with shuffle_cleanup(df.sparkSession):
         return df.select("*").checkpoint()  # planned anew, under this setting
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
