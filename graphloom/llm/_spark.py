@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, shared_checkpoint
+from ..session import checkpoint_dir, shared_checkpoint, shuffle_cleanup
 
-__all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "keep_rows", "shared_checkpoint", "shared_table"]
+__all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "drop_table", "keep_rows", "shared_checkpoint", "shared_table"]
 
 #: Names no input is expected to have.
 _ID, _TH = "_graphloom_id", "_graphloom_th"
@@ -35,10 +35,21 @@ def drop_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder: later reads take only the columns they need."""
-    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    """``df`` written once as Parquet in the shared folder: later reads take only the columns they need.
+
+    The shuffle files that led to it go at once; see :func:`drop_table`.
+    """
+    spark, folder = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with shuffle_cleanup(spark):
+        df.select("*").write.parquet(folder)
+    out = spark.read.parquet(folder)
+    out.shared_folder = folder
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove what :func:`shared_table` wrote, once everything that reads it has been written itself."""
+    drop_folder(table.sparkSession, table.shared_folder)
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import shared_table
+from ._spark import drop_table, shared_table
 
 #: Turns symbols into those of a second, independent hash.
 SECOND = t.U64(0x6A09E667F3BCC909)
@@ -291,10 +291,13 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     found = shared_table(docs.select("id", "th", "text").mapInArrow(_anchor_rows(spec), ANCHOR_SCHEMA))
     often = shared_table(found.groupBy("k").agg(F.sum("n").alias("all")).filter("all > 1").select("k"))
     live = shared_table(found.join(often, "k"))
+    drop_table(found)
+    drop_table(often)
     first = F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r")
     spans = shared_table(live.groupBy(*key).agg(F.sum("n").alias("copies"), first))
     mixed = spans.groupBy("k").agg((F.count("*") > 1).alias("mixed"))
     dictionary = shared_table(spans.join(mixed, "k"))
+    drop_table(spans)
     whole = F.col("r.id") < F.col("id") if spec.first_wins else F.col("copies") > 1
     marked = live.join(dictionary, key).select(*key, "id", "th", live["da"], live["ln"], "at", whole.alias("whole"), "mixed").filter("whole or mixed")
     # One representative of each span where a trigger has several: the smallest id's.
@@ -305,8 +308,10 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     order = ["k", "follows", "sp", "sv"]
     sorted_spans = texts.withColumn("follows", follows).repartitionByRange(*order).sortWithinPartitions(*order).drop("follows")
     ranges = shared_table(sorted_spans.mapInArrow(_ordered(spec), RUN_SCHEMA))
+    drop_table(texts)
     crossing = ranges.filter("w is not null")
-    counts = crossing.groupBy("w", "v").agg(F.sum("n").alias("every"), F.min("id").alias("least"))
+    counts = crossing.groupBy("w", "v").agg(F.sum("n").alias("every"), F.min("id").alias("least"), F.max("id").alias("most"))
+    counts = counts.filter("least < most" if spec.first_wins else "every > 1")  # windows that stand once meet nothing
     hit = crossing.join(counts, ["w", "v"]).filter("least < id" if spec.first_wins else "every > 1")
     keys = [*key, "id"] if spec.first_wins else key
     runs = ranges.filter("w is null").select(*keys, "lo", "hi").union(hit.select(*keys, "lo", "hi")).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
