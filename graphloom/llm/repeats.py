@@ -241,18 +241,25 @@ def _range(rows: list[tuple], spec: Spec, before: bool, after: bool):
         if wanted:
             own = np.flatnonzero(keys[0] == keys[0][at])
             reach[own] = np.maximum(reach[own], _reach(rank, near, own, spec.width, back))
-    owner, spots, first, second = [], [], [], []
+    owner, spots, first, second, sure = [], [], [], [], []
     for i in np.flatnonzero(reach >= spec.width - da):
         off = np.arange(0, min(ln[i], da[i] - (spec.width - reach[i])) + 1)
+        if spec.first_wins:  # of equals the first is not settled here, and speaks for all
+            off = off[~mask[i, off]]
         if len(off):
             w, v = _windows(spec, bodies[i], off)
             owner.append(np.full(len(off), i))
             spots.append(off.astype(np.int32))
             first.append(w)
             second.append(v)
+            sure.append(mask[i, off])
     if owner:
-        own, off = np.concatenate(owner), pa.array(np.concatenate(spots))
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in keys), off, off, pa.array(n[own]), pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["k", "sp", "sv", "id", "lo", "hi", "n", "w", "v"])
+        own, off, w, v, known = (np.concatenate(x) for x in (owner, spots, first, second, sure))
+        # What is settled here only tells the others, once for each window, and asks nothing: its place is -1.
+        _, once = np.unique(np.stack([w[known], v[known]]), axis=1, return_index=True)
+        some = np.concatenate([np.flatnonzero(~known), np.flatnonzero(known)[once]])
+        place = pa.array(np.where(known[some], -1, off[some]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[own[some]]) for x in keys), place, place, pa.array(np.where(known[some], 2, n[own[some]])), pa.array(w[some]), pa.array(v[some])], ["k", "sp", "sv", "id", "lo", "hi", "n", "w", "v"])
 
 
 def _ordered(spec: Spec):
@@ -312,7 +319,7 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     crossing = ranges.filter("w is not null")
     counts = crossing.groupBy("w", "v").agg(F.sum("n").alias("every"), F.min("id").alias("least"), F.max("id").alias("most"))
     counts = counts.filter("least < most" if spec.first_wins else "every > 1")  # windows that stand once meet nothing
-    hit = crossing.join(counts, ["w", "v"]).filter("least < id" if spec.first_wins else "every > 1")
+    hit = crossing.filter("lo >= 0").join(counts, ["w", "v"]).filter("least < id" if spec.first_wins else "every > 1")
     keys = [*key, "id"] if spec.first_wins else key
     runs = ranges.filter("w is null").select(*keys, "lo", "hi").union(hit.select(*keys, "lo", "hi")).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     partial = marked.filter("not whole and mixed").join(runs, keys)
