@@ -104,7 +104,7 @@ def test_parts_of_long_texts_meet(monkeypatch):
     rnd = random.Random(3)
     codes = np.array([rnd.randrange(1 << 62) for _ in range(1000)], dtype=np.uint64)
     spec = repeats.Spec(20, 5, 8, True, text_words)
-    starts = [int(s) + k for _, _, _, ss, _, ln in repeats.anchors(codes, spec) for s, n in zip(ss, ln, strict=True) for k in range(int(n) + 1)]
+    starts = [int(s) + k for _, _, _, _, ss, _, ln in repeats.anchors(codes, spec) for s, n in zip(ss, ln, strict=True) for k in range(int(n) + 1)]
     assert sorted(starts) == list(range(1000 - 20 + 1))
 
 
