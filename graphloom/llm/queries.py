@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import drop_folder, shared_checkpoint
+from .bpe import encode_decode, load_vocabulary
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
+from .fill_middle import arrange, restore_text
 from .language_id import identify_languages, train_prototypes
 from .minhash_dedup import near_duplicates
 from .quality import classify_quality
@@ -105,7 +107,27 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = arrange(_table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restore_text(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(_table(spark, sf_dir, "documents"), load_vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
     "op1_sentencepiece": op1_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -123,6 +145,23 @@ _LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 _WORDS_SQL = "regexp_extract_all(" + _LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents
+        ), h AS (
+            SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS h1, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS h2,
+                   t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 50 AS plain,
+                   CAST('0x' || x[25:32] AS BIGINT) % 100 < 80 AS spm FROM d
+        ), p AS (
+            SELECT doc_id, n, t, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(u[1:least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m, array_to_string(u[greatest(h1, h2) + 1:n], '') AS s FROM h
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
     "op9_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
         i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
