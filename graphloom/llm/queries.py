@@ -18,6 +18,7 @@ from .language_id import identify_languages, train_prototypes
 from .minhash_dedup import near_duplicates
 from .quality import classify_quality
 from .sentencepiece_wfst import load_model, round_trip
+from .spelling import spelling_forms
 from .substring_dedup import remove_later_passages
 from .suffix_dedup import remove_repeated_strings
 from .url_filters import UrlFilter, host_rule, judge_urls, word_rule
@@ -125,7 +126,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, noise=199)
+
+
 QUERIES = {
+    "op13_spelling_variants": op13_spelling_variants,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_bpe": op12_bpe,
     "op1_sentencepiece": op1_sentencepiece,
