@@ -129,16 +129,39 @@ def label_propagation_exact(links: DataFrame, graph_col: str, rounds: int = 30,
     return links.select(graph_col, "a", "b").groupBy(graph_col).applyInPandas(solve, f"{graph_col} {kind}, node {node}, label {node}")
 
 
+def _longest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of distinct links (src, dst): (id, depth) of the nodes that reach no cycle, and the others (id).
+
+    A round replaces the links to a node whose depth is known by a least depth
+    of their source, and leads links to a node with one link left on to that
+    one's end, with both lengths. So straight stretches shrink by doubling, and
+    rounds grow with the branching layers rather than with the path. On a cycle
+    the lengths pass the number of nodes, which no path can.
+    """
+    links = shared_checkpoint(links.select("src", "dst", F.lit(1).cast("long").alias("w")))
+    base = shared_checkpoint(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().withColumn("base", F.lit(0).cast("long")))
+    most = base.count()
+    while True:
+        ahead = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), F.max(F.struct("dst", F.col("w").alias("on"))).alias("way"))
+        known = base.join(ahead, "id", "left").select(F.col("id").alias("dst"), "base", F.coalesce("k", F.lit(0)).alias("k"), F.col("way.dst").alias("next"), F.col("way.on").alias("on"))
+        leads = (F.col("k") == 1) & (F.col("on") <= most) & (F.col("next") != F.col("dst"))
+        met = shared_checkpoint(links.join(known, "dst").withColumn("leads", leads))
+        settled = met.filter("k = 0 or leads")
+        if settled.isEmpty():
+            left = links.select(F.col("src").alias("id")).distinct()
+            return base.join(left, "id", "left_anti").select("id", F.col("base").alias("depth")), left
+        least = settled.groupBy(F.col("src").alias("id")).agg(F.max(F.col("w") + F.col("base")).alias("least"))
+        base = shared_checkpoint(base.join(least, "id", "left").select("id", F.greatest("base", F.coalesce("least", F.lit(0))).alias("base")))
+        on = met.filter("k > 0").select("src", F.when(F.col("leads"), F.col("next")).otherwise(F.col("dst")).alias("dst"), (F.col("w") + F.when(F.col("leads"), F.col("on")).otherwise(0)).alias("w"))
+        links = shared_checkpoint(on.groupBy("src", "dst").agg(F.max("w").alias("w")))
+
+
 def _core(links: DataFrame) -> DataFrame:
-    """Of links (src, dst) those that can lie on a cycle: ends without links in or out go, until none is left."""
-    core, before = links, links.count()
-    while before:
-        core = shared_checkpoint(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        after = core.count()
-        if after == before:
-            break
-        before = after
-    return core
+    """Of links (src, dst) those between nodes that reach a cycle and are reached from one."""
+    for here, there in (("src", "dst"), ("dst", "src")):
+        left = shared_checkpoint(_longest(links.select(F.col(here).alias("src"), F.col(there).alias("dst")))[1])
+        links = shared_checkpoint(links.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    return links
 
 
 def _spread(start: DataFrame, links: DataFrame, value: str) -> DataFrame:
@@ -155,8 +178,7 @@ def _spread(start: DataFrame, links: DataFrame, value: str) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, part) for every node: nodes on common cycles share a part, named by one of them; others are their own.
 
-    Ends that no cycle can pass are peeled off first, so that a graph without
-    cycles takes as many rounds as its longest path. Of the rest, each node
+    Nodes that no cycle can pass are left out first. Of the rest, each node
     takes the least id that reaches it; the nodes that reach back to the one so
     named are its part. Rounds grow with the longest path inside a part.
     """
@@ -177,23 +199,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.withColumn("part", F.col("id")) if found is None else nodes.join(found, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
-def dependency_depth(edges: DataFrame, bound: int = 64) -> DataFrame:
-    """(id, depth): longest path of src-to-dst edges below each node; ValueError if a path is longer than ``bound``.
+def dependency_depth(edges: DataFrame) -> DataFrame:
+    """(id, depth): longest path of src-to-dst edges below each node, however long.
 
     Edges inside a cycle add nothing: its nodes are as deep as what lies below
-    any of them.
+    any of them. (A depth-first walk that counts an edge back as 0 would give
+    depths that hang on where it starts.)
     """
-    part = shared_checkpoint(strong_components(edges))
-    named = edges.select("src", "dst").join(part.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst")
-    links = shared_checkpoint(named.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-    depths = shared_checkpoint(part.select(F.col("part").alias("id")).distinct().withColumn("depth", F.lit(0)))
-    for step in range(1, bound + 2):
-        deeper = links.join(depths.filter(F.col("depth") == step - 1).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("to", F.lit(step))
-        deeper = shared_checkpoint(deeper)
-        if deeper.isEmpty():
-            return part.join(depths.withColumnRenamed("id", "part"), "part").select("id", "depth")
-        depths = shared_checkpoint(depths.join(deeper, "id", "left").select("id", F.coalesce("to", "depth").alias("depth")))
-    raise ValueError("a path longer than the bound")
+    links = shared_checkpoint(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    own, left = _longest(links.filter("src <> dst"))
+    alone = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    if left.isEmpty():
+        return alone.join(own, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+    part = shared_checkpoint(strong_components(links))
+    named = links.join(part.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst")
+    depths, _ = _longest(named.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    return part.join(depths.withColumnRenamed("id", "part"), "part", "left").select("id", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
 
 
 def depth_bands(depths: DataFrame, bands: int = 4) -> DataFrame:
@@ -202,17 +223,23 @@ def depth_bands(depths: DataFrame, bands: int = 4) -> DataFrame:
     return depths.join(most, F.lit(True)).select("id", "depth", F.least(F.floor(F.col("depth") * bands / (F.col("most") + 1)), F.lit(bands - 1)).cast("int").alias("band"))
 
 
-def successor_chain(successors: DataFrame, bound: int = 32) -> DataFrame:
-    """(id, final, steps, cyclic) of (id, successor): where following successors ends.
+def successor_chain(successors: DataFrame) -> DataFrame:
+    """(id, final, steps, cyclic) of (id, successor): where following successors ends, however far.
 
-    A null or unlisted successor ends a chain. Pointers double their reach
-    each round, so the rounds are logarithmic in the longest chain.
+    A null or unlisted successor ends a chain. Pointers double their reach each
+    round until none of them comes to an end any more: those that are still
+    under way then go round in circles. So rounds are logarithmic in the longest
+    chain. Only pointers under way take part in a round's join.
     """
     base = successors.select("id", "successor").filter("id is not null")
-    at = shared_checkpoint(base.select("id", F.coalesce("successor", "id").alias("final"), F.when(F.col("successor").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    rounds = max(bound, 2).bit_length()
-    for _ in range(rounds):
-        jump = at.select(F.col("id").alias("final"), F.col("final").alias("next"), F.col("steps").alias("more"))
-        at = shared_checkpoint(at.join(jump, "final", "left").select("id", F.coalesce("next", "final").alias("final"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    cyclic = F.col("steps") > bound
-    return at.select("id", F.when(~cyclic, F.col("final")).alias("final"), F.when(~cyclic, F.col("steps")).alias("steps"), cyclic.alias("cyclic"))
+    last = F.col("successor").isNull()
+    at = shared_checkpoint(base.select("id", F.coalesce("successor", "id").alias("final"), F.when(last, 0).otherwise(1).cast("long").alias("steps"), (~last).alias("going")))
+    going, before = at.filter("going").count(), None
+    while going and going != before:
+        jump = at.select(F.col("id").alias("final"), F.col("final").alias("next"), F.col("steps").alias("more"), F.col("going").alias("further"))
+        moved = at.filter("going").join(jump, "final", "left").select(
+            "id", F.coalesce("next", "final").alias("final"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("further", F.lit(False)).alias("going")
+        )
+        at = shared_checkpoint(at.filter("not going").unionByName(moved))
+        before, going = going, at.filter("going").count()
+    return at.select("id", F.when(~F.col("going"), F.col("final")).alias("final"), F.when(~F.col("going"), F.col("steps")).alias("steps"), F.col("going").alias("cyclic"))

@@ -43,7 +43,7 @@ def parent_status(vaults: DataFrame) -> DataFrame:
     names = vaults.select(F.col("slug").alias("parent"), F.col("slug").alias("to"), F.col("schema").alias("their"), F.lit(0).alias("way")).unionByName(vaults.select(F.explode("aliases").alias("parent"), F.col("slug").alias("to"), F.col("schema").alias("their"), F.lit(1).alias("way")))
     best = names.groupBy("parent").agg(F.min(F.struct("way", "to", "their")).alias("b"))
     linked = vaults.join(best, "parent", "left").select("slug", "parent", "schema", F.col("b.to").alias("to"), F.col("b.their").alias("their"))
-    loops = successor_chain(linked.select(F.col("slug").alias("id"), F.col("to").alias("successor")), 64).select(F.col("id").alias("slug"), "cyclic")
+    loops = successor_chain(linked.select(F.col("slug").alias("id"), F.col("to").alias("successor"))).select(F.col("id").alias("slug"), "cyclic")
     status = F.when(F.col("parent").isNull(), "none").when(F.col("to") == F.col("slug"), "self").when(F.col("to").isNull(), "unresolvable").when(F.col("schema") != F.col("their"), "schema-mismatch").when(F.col("cyclic"), "cycle").otherwise("resolved")
     return linked.join(loops, "slug", "left").select("slug", status.alias("status"))
 

@@ -151,7 +151,7 @@ def successor_chain(spark, sf_dir):
 def parent_cycle(spark, sf_dir):
     key = F.col("n_nationkey").cast("long")
     own = table(spark, sf_dir, "nation").select(key.alias("id"), F.when(key % 5 == 0, (key + 5) % 25).otherwise(key - 1).alias("successor"))
-    return tr.successor_chain(own, 64).select("id", "cyclic")
+    return tr.successor_chain(own).select("id", "cyclic")
 
 
 #: Parts as a tree of eight children a node, in which parts 3, 4 and 5 import each other in a ring.
