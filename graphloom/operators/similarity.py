@@ -3,7 +3,9 @@
 Pairs are only formed inside a type (an equi-join key), never by a cross join.
 A type's rows are dealt into blocks of about ``BLOCK`` rows, and a pair of
 blocks meets in a task of its own, so that work spreads however few types there
-are and however unevenly they are filled. The result stays exact.
+are and however unevenly they are filled. Vectors that lie in groups meet by
+the cells of :mod:`vector_join` instead, which leaves out pairs of cells that
+cannot match. The result is exact either way.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..session import shared_checkpoint
+from . import vector_join
 
 
 #: Rows of a block; with fewer rows a key is one block and nothing is sent twice.
@@ -45,13 +48,21 @@ def between(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id:
     return deal(left, "_l", left_id, "_r", "_r_all").join(deal(right, "_r", right_id, "_l", "_l_all"), [key, "_l", "_r"]).drop("_l", "_r")
 
 
+def _alike(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """Pairs of rows (a, v) of one key with cosine of ``least`` or more."""
+    pivots = vector_join.useful_pivots(rows, "a", least)
+    if pivots is not None:
+        return vector_join.pairs_within(rows, key, least, pivots)
+    return vector_join.alike(within(vector_join.with_heads(rows), key), least)
+
+
 def vector_pairs(rows: DataFrame, least: float, below: float | None = None, key: str = "type", id_col: str = "id") -> DataFrame:
     """Pairs a < b of one key with cosine in [least, below): a, b, key, similarity (4 places).
 
     Thresholds test the unrounded cosine.
     """
     own = rows.select(F.col(id_col).alias("a"), F.col(key).alias("key"), vx.unit(F.col("vector")).alias("v"))
-    pairs = within(own, "key").filter("a1 <> a2").withColumn("cosine", vx.dot(F.col("v1"), F.col("v2"))).filter(F.col("cosine") >= least)
+    pairs = _alike(own, "key", least).filter("a1 <> a2")
     if below is not None:
         pairs = pairs.filter(F.col("cosine") < below)
     return pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), F.col("key").alias(key), F.round("cosine", 4).alias("similarity"))
@@ -60,7 +71,7 @@ def vector_pairs(rows: DataFrame, least: float, below: float | None = None, key:
 def cross_type_pairs(rows: DataFrame, groups: DataFrame, least: float, id_col: str = "id") -> DataFrame:
     """Pairs a < b of different types of one group: ``groups`` has (type, family)."""
     own = rows.join(groups, "type").select(F.col(id_col).alias("a"), F.col("type").alias("type"), "family", vx.unit(F.col("vector")).alias("v"))
-    pairs = within(own, "family").filter("a1 <> a2 and type1 <> type2").withColumn("cosine", vx.dot(F.col("v1"), F.col("v2"))).filter(F.col("cosine") >= least)
+    pairs = _alike(own, "family", least).filter("a1 <> a2 and type1 <> type2")
     first = F.col("a1") < F.col("a2")
     types = [F.when(first, F.col("type1")).otherwise(F.col("type2")).alias("type_a"), F.when(first, F.col("type2")).otherwise(F.col("type1")).alias("type_b")]
     return pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), *types, F.round("cosine", 4).alias("similarity"))
@@ -68,9 +79,15 @@ def cross_type_pairs(rows: DataFrame, groups: DataFrame, least: float, id_col: s
 
 def top_matches(left: DataFrame, right: DataFrame, key: str, least: float, top: int) -> DataFrame:
     """For each left (id, vector) its ``top`` most similar right rows of the same key: id, match, similarity, rank."""
-    a = left.select(F.col("id"), F.col(key), vx.unit(F.col("vector")).alias("va"))
-    b = right.select(F.col("id").alias("match"), F.col(key), vx.unit(F.col("vector")).alias("vb"))
-    pairs = between(a, b, key, "id", "match").filter("id <> match").withColumn("cosine", vx.dot(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least).drop("va", "vb")
+    a = left.select(F.col("id"), F.col(key), vx.unit(F.col("vector")).alias("v"))
+    b = right.select(F.col("id").alias("match"), F.col(key), vx.unit(F.col("vector")).alias("v"))
+    pivots = vector_join.useful_pivots(a, "id", least)
+    if pivots is not None:
+        pairs = vector_join.pairs_between(a, b, key, "id", "match", least, pivots)
+    else:
+        sides = [vector_join.with_heads(x).withColumnsRenamed({c: f"{c}{k}" for c in ("v", "h", "r")}) for k, x in ((1, a), (2, b))]
+        pairs = vector_join.alike(between(*sides, key, "id", "match"), least).drop("v1", "v2")
+    pairs = pairs.filter("id <> match")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "match")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "match", F.round("cosine", 4).alias("similarity"), "rank")
 
