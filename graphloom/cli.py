@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import KnowledgeGraph
-from .operators import assist, brief, builders, carving, checks, code_index, duplicates, merge, mutate, rules, search, staleness, traverse, xref
+from .operators import assist, brief, builders, carving, checks, code_index, duplicates, fsck, merge, mutate, rules, search, staleness, traverse, xref
 from .schema import get_preset
-from .sources import config, history, session_state, vault, vector_index
+from .sources import config, history, ledger, session_state, vault, vector_index
 from .sources.snapshots import SnapshotStore, lost_nodes
 
 
@@ -76,6 +76,19 @@ def _commit_plan(spark, store, args, plan: dict) -> dict:
     return {"version": version, "warnings": assist.precheck(args.index_head, head, args.asked), "suggestions": assist.suggestions(after, created.select("id"), preset)}
 
 
+def check_store(spark, store, args):
+    """Findings over a vault's files if one is named, else over the store's graph; and over a vector index (--out)."""
+    preset = get_preset(args.schema)
+    if args.vault:
+        entries, bad = ledger.read(spark, args.log) if args.log else (None, None)
+        return {"findings": fsck.vault_report(vault.read_files(spark, args.vault), preset, entries, bad)}
+    graph = _graph(store, args)
+    found = rules.validate(graph.nodes, graph.edges, preset)
+    if args.out:
+        found = found.unionByName(fsck.index_report(graph.nodes, *vector_index.read_index(spark, args.out)))
+    return {"findings": found}
+
+
 def ask(spark, store, args):
     graph = _graph(store, args)
     found = search.search(graph.nodes, args.question, limit=args.limit)
@@ -214,7 +227,7 @@ VERBS = {
     "evidence": lambda spark, store, args: {"evidence": brief.evidence(spark.createDataFrame([(args.id, 1.0)], "id string, score double"), _graph(store, args))},
     "export": export,
     "frame-check": frame_check,
-    "fsck": lambda spark, store, args: {"findings": rules.validate(_graph(store, args).nodes, _graph(store, args).edges, get_preset(args.schema))},
+    "fsck": check_store,
     "harvest-history": harvest,
     "index": index,
     "inspect": lambda spark, store, args: {"types": _graph(store, args).nodes.groupBy("type").count().orderBy("type"), "edges": _graph(store, args).edges.groupBy("type").count().orderBy("type"), "open": brief.open_questions(_graph(store, args))},

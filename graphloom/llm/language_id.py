@@ -10,6 +10,8 @@ language of the prototype with the largest cosine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ DIMENSIONS = 512
 SCALE = 1 << 20
 #: Bits of a code point, of which a trigram packs three.
 POINT = 21
+#: Characters of a text read at once, and trigrams bound at once.
+SEGMENT, BLOCK = 1 << 18, 1 << 13
 
 _code: np.ndarray | None = None
 
@@ -40,18 +44,48 @@ def letter_vectors(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
+def _code_parts(text: str) -> Iterator[np.ndarray]:
+    """Letter codes with one gap between words and at both ends, a segment at a time; nothing if there is no letter."""
+    code, last, gap = _codes(), -1, True
+    for at in range(0, len(text), SEGMENT):
+        points = np.frombuffer(text[at : at + SEGMENT].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        x = code[np.minimum(points, len(code) - 1)]
+        letter = x > 0
+        if letter.any():
+            keep = letter.copy()
+            keep[:-1] |= letter[1:]  # of a gap, its last place
+            own = x[keep]
+            if gap and own[0] != 0:
+                own = np.concatenate([[0], own])
+            last = own[-1]
+            yield own
+        gap = not letter[-1]
+    if last > 0:
+        yield np.zeros(1, np.int64)
+
+
 def letter_codes(text: str) -> np.ndarray:
-    """Letter codes with one gap between words and at both ends; empty if there is no letter."""
-    code = _codes()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    x = code[np.minimum(points, len(code) - 1)]
-    letter = x > 0
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    keep = letter.copy()
-    keep[:-1] |= letter[1:]  # of a gap, its last place
-    x = x[keep]
-    return np.concatenate([x if x[0] == 0 else np.concatenate([[0], x]), [0]])
+    """The codes of :func:`_code_parts` as one array."""
+    parts = list(_code_parts(text))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Packed letter trigrams of a text and how often each stands in it.
+
+    Texts of any length are read in segments; two codes go along from one to
+    the next, so that nothing is lost where they meet.
+    """
+    found, carry = [], np.zeros(0, np.int64)
+    for part in _code_parts(text):
+        x = np.concatenate([carry, part])
+        if len(x) >= 3:
+            found.append(np.unique((x[:-2] << (2 * POINT)) | (x[1:-1] << POINT) | x[2:], return_counts=True))
+        carry = x[-2:]
+    if len(found) <= 1:
+        return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    every, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return every, np.bincount(place, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
 
 def bundle(texts: list[str]) -> np.ndarray:
@@ -59,9 +93,8 @@ def bundle(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     grams, owner = [], []
     for i, text in enumerate(texts):
-        x = letter_codes(text)
-        if len(x) >= 3:
-            found, counts = np.unique((x[:-2] << (2 * POINT)) | (x[1:-1] << POINT) | x[2:], return_counts=True)
+        found, counts = gram_counts(text)
+        if len(found):
             grams.append((found, counts))
             owner.append(i)
     if not owner:
@@ -72,10 +105,11 @@ def bundle(texts: list[str]) -> np.ndarray:
     for row, (found, counts) in enumerate(grams):
         weights[row, inverse[at : at + len(found)]] = counts
         at += len(found)
-    letters, place = np.unique(np.concatenate([every >> (2 * POINT), (every >> POINT) & ((1 << POINT) - 1), every & ((1 << POINT) - 1)]), return_inverse=True)
-    a, b, c = letter_vectors(letters)[place].reshape(3, len(every), DIMENSIONS)
-    bound = (np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c).astype(np.float32)
-    out[owner] = weights @ bound
+    for first in range(0, len(every), BLOCK):
+        some = every[first : first + BLOCK]
+        letters, place = np.unique(np.concatenate([some >> (2 * POINT), (some >> POINT) & ((1 << POINT) - 1), some & ((1 << POINT) - 1)]), return_inverse=True)
+        a, b, c = letter_vectors(letters)[place].reshape(3, len(some), DIMENSIONS)
+        out[owner] += weights[:, first : first + BLOCK] @ (np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c).astype(np.float32)
     return out
 
 
@@ -136,8 +170,9 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_co
 
     Null text and text without letters get ``unknown`` and 0, as does every
     text when there are no prototypes. Ties go to the smaller language name.
-    Null and repeated ids come back as they are; an empty table gives an empty
-    result.
+    Null and repeated ids come back as they are; columns beyond id and text,
+    whatever their names, are left out; an empty table gives an empty result.
+    Texts of any length are read whole, in segments.
     """
     t.limit_arrow_batches(docs.sparkSession)
     names = sorted(prototypes)

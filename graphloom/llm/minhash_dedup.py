@@ -26,8 +26,10 @@ pair of similarity 0.75 meets in some table with probability 0.9995, and one of
    template alone makes them similar enough. The join leaves out pairs inside
    one component and finds every other similar pair among them.
 
-A candidate whose minhashes agree in under two fifths is left out: at a
-similarity of 0.75 that befalls fewer than one pair in a million.
+A candidate from the tables whose minhashes agree in under two fifths is left
+out: at a similarity of 0.75 that befalls fewer than one pair in a million. What
+the prefix join finds is confirmed whatever its minhashes. Sets are confirmed as
+sets of 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -261,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not mixed.isEmpty():
         open_rows = large.select("key", "c").join(mixed, "key", "left_semi").select(F.col("c").alias("row")).distinct()
         open_texts = shared_checkpoint(read.join(open_rows, "row", "left_semi"))
-        late = agreeing(_similar_prefixes(open_texts, facts, width, percent))
+        late = shared_checkpoint(_similar_prefixes(open_texts, facts, width, percent))
         facts = joined(facts, _confirmed(late.select(F.col("a").alias("lead"), F.col("b").alias("other")), open_texts, width, percent))
     labelled = classed.join(facts.select("c", F.col("comp").alias("part")), "c").select("row", "part")
     final = sketches.select("row", "id", "no_id", "th", "n").join(labelled, "row", "left").select("row", "id", "no_id", "th", "n", F.coalesce("part", "row").alias("part"))

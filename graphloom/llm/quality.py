@@ -8,6 +8,8 @@ logistic of the tables' sum, so scoring is one vectorised addition per table.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,6 +25,8 @@ FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "marks", "bars", "non_ascii", "spaces",
     "distinct_words", "repeated_words", "top_word", "distinct_lines", "repeated_line_bytes", "line_words", "long_words",
 )
+#: Bytes from which a text is read in segments.
+LONG = t.SEGMENT
 FEATURE_SCHEMA = "id long, y int, x array<double>"
 
 #: Byte classes: upper-case, digit, symbol, closing mark, bar, non-ASCII, space; 0 is the rest.
@@ -47,6 +51,8 @@ def text_features(data: np.ndarray) -> list[float]:
     size = len(data)
     if not size:
         return [0.0] * len(FEATURES)
+    if size > LONG:
+        return _long_features(data)
     kinds = np.bincount(_CLASS[data], minlength=8) / size
     start, end, _ = t.word_spans(data, np.array([0, size]))
     n = len(start)
@@ -69,6 +75,50 @@ def text_features(data: np.ndarray) -> list[float]:
     ]
 
 
+def _long_words(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """A hash of each word of a long text, and how many have over 24 bytes; read in segments cut at white space."""
+    hashes, long, at, size = [], 0, 0, len(data)
+    while at < size:
+        stop = min(at + LONG, size)
+        while stop < size:
+            blank = np.flatnonzero(_CLASS[data[stop : stop + LONG]] == 7)
+            stop = stop + int(blank[0]) if len(blank) else min(stop + LONG, size)
+            if len(blank):
+                break
+        start, end, _ = t.word_spans(data[at:stop], np.array([0, stop - at]))
+        long += int((end - start > 24).sum())
+        huge = end - start > LONG  # the last one at most
+        own = data[at:stop]
+        if (~huge).any():
+            last = int(end[~huge][-1])
+            hashes.append(t.word_hashes(own[:last], start[~huge], end[~huge]))
+        for a, b in zip(start[huge].tolist(), end[huge].tolist(), strict=True):
+            hashes.append(np.frombuffer(hashlib.blake2b(own[a:b].tobytes(), digest_size=8).digest(), dtype=t.U64))
+        at = stop
+    return (np.concatenate(hashes) if hashes else np.zeros(0, t.U64)), long
+
+
+def _long_features(data: np.ndarray) -> list[float]:
+    """:func:`text_features` of a text too long for running sums over all of it."""
+    size = len(data)
+    kinds = sum(np.bincount(_CLASS[data[a : a + LONG]], minlength=8) for a in range(0, size, LONG)) / size
+    words, long = _long_words(data)
+    n = len(words)
+    distinct, repeated, top = 1.0, 0.0, 0.0
+    if n:
+        repeated = float((words[1:] == words[:-1]).sum()) / n
+        words.sort()
+        runs = _runs(words)
+        distinct, top = len(runs) / n, float(runs.max()) / n
+    lines = Counter(data.tobytes().split(b"\n"))
+    again = float(sum(len(line) * (k - 1) for line, k in lines.items())) / size
+    total = lines.total()
+    return [
+        np.log1p(size), np.log1p(n), size / max(n, 1), kinds[1], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[7],
+        distinct, repeated, top, len(lines) / total, again, n / total, long / max(n, 1),
+    ]
+
+
 def _features(batches):
     for batch in batches:
         data, offsets = t.column_bytes(batch.column("text"))
