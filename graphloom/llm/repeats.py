@@ -44,13 +44,13 @@ from ._spark import drop_table, shared_table
 SECOND = t.U64(0x6A09E667F3BCC909)
 #: Windows handled at once in a very long text.
 PART = 1 << 21
-#: Symbols before a trigger by which spans are told apart beforehand.
+#: Symbols before a trigger by which spans are told apart beforehand, at least.
 LEFT = 8
 #: Bytes of span text that a range holds at most.
 CHUNK = 24 << 20
 
-ANCHOR_SCHEMA = "k long, sp long, sv long, lh long, id long, th long, da int, ln int, n int, at array<int>"
-SPAN_SCHEMA = "k long, sp long, sv long, id long, n long, da int, ln int, lone boolean, body binary"
+ANCHOR_SCHEMA = "k long, sp long, sv long, id long, th long, da int, ln int, n int, at array<int>"
+SPAN_SCHEMA = "k long, sp long, sv long, id long, n long, da int, ln int, body binary"
 RUN_SCHEMA = "k long, sp long, sv long, id long, lo int, hi int, n long, w long, v long"
 
 
@@ -69,9 +69,15 @@ class Spec:
     symbols: Callable[[np.ndarray], np.ndarray]
     chunk: int = CHUNK
 
+    @property
+    def lefts(self) -> list[int]:
+        """How many symbols before a trigger are compared to tell spans apart beforehand."""
+        step = max(self.width // 10, 1)
+        return sorted({*range(step, self.width, step), min(LEFT, self.width)})
+
 
 def anchors(codes: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
-    """Trigger hash, span hashes, hash of the ``LEFT`` symbols before the trigger, window-run start, trigger distance, run length less 1."""
+    """Trigger hash, span hashes, window-run start, trigger distance, run length less 1."""
     n, take = len(codes), spec.width - spec.gram + 1
     for base in range(0, n - spec.width + 1, PART):
         x = codes[base : base + PART + spec.width - 1]
@@ -91,7 +97,7 @@ def anchors(codes: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
         s, e = np.concatenate([[0], cut]), np.concatenate([cut - 1, [count - 1]])
         a = best[s]
         inside = t.mix(((a - s) * 1_000_003 + (e - s)).astype(t.U64))
-        yield full[a], t.mix(t.span_hash(sums, s, e + spec.width) ^ inside), t.mix(t.span_hash(again, s, e + spec.width) + inside), np.where(a - s >= LEFT, t.span_hash(sums, np.maximum(a - LEFT, 0), a), t.U64(0)), s + base, a - s, e - s
+        yield full[a], t.mix(t.span_hash(sums, s, e + spec.width) ^ inside), t.mix(t.span_hash(again, s, e + spec.width) + inside), s + base, a - s, e - s
 
 
 def _anchor_rows(spec: Spec):
@@ -99,23 +105,23 @@ def _anchor_rows(spec: Spec):
         for batch in batches:
             data, offsets = t.column_bytes(batch.column("text"))
             ids, hashes = batch.column("id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
-            out: list[list[np.ndarray]] = [[] for _ in range(9)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             spots: list[np.ndarray] = []
             for i in range(len(ids)):
                 if offsets[i + 1] - offsets[i] < spec.width:
                     continue
                 codes = spec.symbols(data[offsets[i] : offsets[i + 1]])
-                for k, sp, sv, lh, s, da, ln in anchors(codes, spec):
+                for k, sp, sv, s, da, ln in anchors(codes, spec):
                     order = np.lexsort((s, sv, sp, k))
-                    k, sp, sv, lh, s, da, ln = (x[order] for x in (k, sp, sv, lh, s, da, ln))
+                    k, sp, sv, s, da, ln = (x[order] for x in (k, sp, sv, s, da, ln))
                     head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (sp[1:] != sp[:-1]) | (sv[1:] != sv[:-1])]))
                     n = np.diff(np.append(head, len(k)))
-                    for j, v in enumerate((t.signed(k[head]), t.signed(sp[head]), t.signed(sv[head]), t.signed(lh[head]), np.full(len(head), ids[i]), np.full(len(head), hashes[i]), da[head].astype(np.int32), ln[head].astype(np.int32), n.astype(np.int32))):
+                    for j, v in enumerate((t.signed(k[head]), t.signed(sp[head]), t.signed(sv[head]), np.full(len(head), ids[i]), np.full(len(head), hashes[i]), da[head].astype(np.int32), ln[head].astype(np.int32), n.astype(np.int32))):
                         out[j].append(v)
                     spots.append(s.astype(np.int32))
             if spots:
                 columns = [np.concatenate(v) for v in out]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), t.list_array(np.concatenate(spots), columns[8], pa.int32())], ["k", "sp", "sv", "lh", "id", "th", "da", "ln", "n", "at"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), t.list_array(np.concatenate(spots), columns[7], pa.int32())], ["k", "sp", "sv", "id", "th", "da", "ln", "n", "at"])
 
     return rows
 
@@ -134,7 +140,7 @@ def _span_rows(spec: Spec):
                 x = raw if spec.item == 1 else spec.symbols(raw)
                 for r in asked:
                     cut = x[r["s"] : r["s"] + r["ln"] + spec.width]
-                    out.append((r["k"], r["sp"], r["sv"], key, r["n"], r["da"], r["ln"], r["lone"], (cut if spec.item == 1 else cut.astype(">u8")).tobytes()))
+                    out.append((r["k"], r["sp"], r["sv"], key, r["n"], r["da"], r["ln"], (cut if spec.item == 1 else cut.astype(">u8")).tobytes()))
                 if len(out) >= 4096:
                     yield _batch(out)
                     out = []
@@ -145,8 +151,8 @@ def _span_rows(spec: Spec):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "sp", "sv", "id", "n", "da", "ln", "lone", "body"])
+    kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "sp", "sv", "id", "n", "da", "ln", "body"])
 
 
 def _suffix_order(keys: np.ndarray, texts: list[bytes], item: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +251,8 @@ def _range(rows: list[tuple], spec: Spec, before: bool, after: bool):
             reach[own] = np.maximum(reach[own], _reach(rank, near, own, spec.width, back))
     owner, spots, first, second, sure = [], [], [], [], []
     for i in np.flatnonzero(reach >= spec.width - da):
-        # Where no other span has the same symbols before the trigger, windows that hold them stand once.
-        off = np.arange(max(0, da[i] - LEFT + 1) if lone[i] else 0, min(ln[i], da[i] - (spec.width - reach[i])) + 1)
+        # Where no other span has the same ``lone`` symbols before the trigger, windows that hold them stand once.
+        off = np.arange(max(0, da[i] - lone[i] + 1) if lone[i] else 0, min(ln[i], da[i] - (spec.width - reach[i])) + 1)
         if spec.first_wins:  # of equals the first is not settled here, and speaks for all
             off = off[~mask[i, off]]
         if len(off):
@@ -292,6 +298,15 @@ def _ordered(spec: Spec):
     return rows
 
 
+def _lone(texts: DataFrame, spec: Spec) -> DataFrame:
+    """(k, sp, sv, lone): with how many symbols before its trigger a span differs from all others of the trigger, at the least compared."""
+    levels = F.explode(F.array(*map(F.lit, spec.lefts))).alias("lone")
+    left = F.xxhash64(F.expr(f"substring(body, (da - lone) * {spec.item} + 1, lone * {spec.item})"))
+    compared = texts.select("k", "sp", "sv", "da", "body", levels).filter("da >= lone").select("k", "lone", left.alias("left"), F.struct("sp", "sv").alias("span"))
+    alone = compared.groupBy("k", "lone", "left").agg(F.min("span").alias("span"), F.max("span").alias("other")).filter("span = other")
+    return alone.groupBy("k", "span").agg(F.min("lone").alias("lone")).select("k", "span.sp", "span.sv", "lone")
+
+
 def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     """(id, th, runs): windows with a qualifying equal, as inclusive ranges of starts.
 
@@ -303,21 +318,21 @@ def repeated_windows(docs: DataFrame, spec: Spec) -> DataFrame:
     live = shared_table(found.join(often, "k"))
     drop_table(found)
     drop_table(often)
-    first = F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln", "lh")).alias("r")
+    first = F.min(F.struct("id", "th", F.col("at")[0].alias("s"), "da", "ln")).alias("r")
     spans = shared_table(live.groupBy(*key).agg(F.sum("n").alias("copies"), first))
     mixed = spans.groupBy("k").agg((F.count("*") > 1).alias("mixed"))
-    left = spans.groupBy("k", F.col("r.lh").alias("lh")).agg((F.count("*") == 1).alias("lone"))
-    dictionary = shared_table(spans.withColumn("lh", F.col("r.lh")).join(mixed, "k").join(left, ["k", "lh"]).drop("lh"))
+    dictionary = shared_table(spans.join(mixed, "k"))
     drop_table(spans)
     whole = F.col("r.id") < F.col("id") if spec.first_wins else F.col("copies") > 1
     marked = live.join(dictionary, key).select(*key, "id", "th", live["da"], live["ln"], "at", whole.alias("whole"), "mixed").filter("whole or mixed")
     # One representative of each span where a trigger has several: the smallest id's.
-    asked = dictionary.filter("mixed").select(*key, F.col("copies").alias("n"), "lone", "r")
-    listed = asked.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct(*key, F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n", "lone")).alias("asked"))
+    asked = dictionary.filter("mixed").select(*key, F.col("copies").alias("n"), "r")
+    listed = asked.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct(*key, F.col("r.s").alias("s"), F.col("r.da").alias("da"), F.col("r.ln").alias("ln"), "n")).alias("asked"))
     texts = shared_table(docs.select("id", "th", "text").join(listed, ["id", "th"]).select("id", "text", "asked").mapInArrow(_span_rows(spec), SPAN_SCHEMA))
     follows = F.expr(f"substring(body, da * {spec.item} + 1)")
     order = ["k", "follows", "sp", "sv"]
-    sorted_spans = texts.withColumn("follows", follows).repartitionByRange(*order).sortWithinPartitions(*order).drop("follows")
+    told = texts.join(_lone(texts, spec), key, "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    sorted_spans = told.select(*texts.columns[:-1], "lone", "body").withColumn("follows", follows).repartitionByRange(*order).sortWithinPartitions(*order).drop("follows")
     ranges = shared_table(sorted_spans.mapInArrow(_ordered(spec), RUN_SCHEMA))
     drop_table(texts)
     crossing = ranges.filter("w is not null")
