@@ -36,6 +36,5 @@ def ask_counts_stream(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("recursiveFileLookup", True).parquet(source)
     folder = f"{checkpoint_dir(spark)}/asks-{uuid.uuid4().hex}"
     counted = asks.ask_counts_stream(_asks(stream)).select("key", "id", "calls")
-    run = counted.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("append").format("parquet").start(f"{folder}/rows")
-    run.awaitTermination()
+    asks.run_available(spark, counted.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").format("parquet"), f"{folder}/rows")
     return spark.read.parquet(f"{folder}/rows")

@@ -29,6 +29,22 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
 
 
+def run_available(spark: SparkSession, writer, *where: str) -> None:
+    """Run a stream of these operators over what has come so far, and end.
+
+    State by processing time would have Spark go on with empty batches for
+    ever; this query runs none. Nothing here waits for one.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        query = writer.trigger(availableNow=True).start(*where)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    query.awaitTermination()
+
+
 class _Counter(StatefulProcessor):
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms

@@ -18,8 +18,7 @@ def feed(spark, folder, rows, schema):
 
 
 def run(stream, folder):
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("append").format("parquet").start(f"{folder}/rows")
-    assert query.awaitTermination(180)
+    asks.run_available(stream.sparkSession, stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").format("parquet"), f"{folder}/rows")
 
 
 def test_counts_survive_restarts(spark, tmp_path):
