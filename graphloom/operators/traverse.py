@@ -61,6 +61,33 @@ def neighbors_capped(edges: DataFrame, seeds: DataFrame, depth: int = 1, per_nod
     return taken.join(edges, ["id", "type"]).select("id", "type", "src", "dst", "depth")
 
 
+def neighbors_of_each(edges: DataFrame, seeds: DataFrame, depth: int = 1, per_node: int = 10, total: int = 40) -> DataFrame:
+    """:func:`neighbors_capped` of every seed alone, in one plan: seed, id, type, src, dst, depth.
+
+    Every seed has its own visited edges and its own ``total``; edge ids are
+    unique. A seed takes ``total`` edges at most, so what any seed can take
+    from a node is among the node's first ``per_node + total``: hubs are cut to
+    these before seeds meet them, and rows stay in proportion to the seeds.
+    """
+    first = Window.partitionBy("node").orderBy(edge_priority(F.col("type")), "id")
+    around = both_ways(edges).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_node + total)
+    if depth > 1:
+        around = shared_checkpoint(around)
+    frontier = seeds.filter("id is not null").select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct()
+    taken = None
+    for step in range(1, depth + 1):
+        open_edges = frontier.join(around, "node")
+        if taken is not None:
+            open_edges = open_edges.join(taken.select("seed", "id"), ["seed", "id"], "left_anti")
+        got = open_edges.withColumn("rank", F.row_number().over(Window.partitionBy("seed", "node").orderBy("place"))).filter(F.col("rank") <= per_node)
+        once = got.groupBy("seed", "id").agg(F.min(F.struct("node", "rank", "other")).alias("m")).select("seed", "id", "m.node", "m.other", "m.rank", F.lit(step).alias("depth"))
+        everything = once if taken is None else taken.unionByName(once)
+        order = Window.partitionBy("seed").orderBy("depth", "node", "rank", "id")
+        taken = shared_checkpoint(everything.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= total).drop("k"))
+        frontier = taken.filter(F.col("depth") == step).select("seed", F.col("other").alias("node")).distinct()
+    return taken.select("seed", "id", "depth").join(edges.select("id", "type", "src", "dst"), "id").select("seed", "id", "type", "src", "dst", "depth")
+
+
 def linked_nodes(edges: DataFrame, nodes: DataFrame, ids: DataFrame, edge_type: str | None = None, node_type: str | None = None, limit: int = 5) -> DataFrame:
     """Up to ``limit`` one-step neighbours of each id: id, other, edge_type."""
     around = both_ways(edges if edge_type is None else edges.filter(F.col("type") == edge_type)).join(ids.select(F.col("id").alias("node")), "node", "left_semi")

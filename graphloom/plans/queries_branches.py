@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..graph import KnowledgeGraph
+from ..operators import rules as ru
+from ..operators import upkeep
 from ..schema import BENCH
 from ..session import checkpoint_dir, shared_checkpoint
 from ..sources import publish
 from ..sources.repository import Repository
 from ..sources.vector_index import IndexInfo, hash_embedder
-from .projection import edges, nodes, table
+from .projection import EDGES_SQL, NODES_SQL, edges, nodes, table
+from .queries_rules import _SMALL_NODES, _finding_sql, _small
 from .registry import query
 
 
@@ -89,3 +92,32 @@ def commit_tombstones(spark, sf_dir):
     if "commit" not in done:
         raise ValueError(f"refused: {done}")
     return _answer(repo, repo.table("ledger").select("id", "type", "title", "reason", "successor", "month", F.array_join("cascaded_edges", ",").alias("cascaded_edges")))
+
+
+_KEPT_EDGES = f"SELECT id, CASE WHEN src LIKE 's:%3' THEN 'placed_by' ELSE type END AS type, src, dst FROM ({EDGES_SQL}) WHERE NOT (type = 'placed_by' AND dst LIKE '%5')"
+_KEPT_NODES = f"SELECT id, type, CASE WHEN type = 'Customer' AND id LIKE '%7' THEN 'active' ELSE state END AS state FROM ({_SMALL_NODES})"
+
+
+@query(" UNION ALL ".join([
+    _finding_sql("missing-dst", "error", "e.id", "dst", "1", f"FROM ({_KEPT_EDGES}) e WHERE dst NOT IN (SELECT id FROM ({_KEPT_NODES}))"),
+    _finding_sql("edge-rule", "error", "e.id", "a.type || ':' || e.type || ':' || b.type", "1", f"FROM ({_KEPT_EDGES}) e JOIN ({NODES_SQL}) a ON a.id = src JOIN ({NODES_SQL}) b ON b.id = dst WHERE src LIKE 's:%3'"),
+    _finding_sql("bad-state", "error", "id", "type || ':' || state", "1", f"FROM ({_KEPT_NODES}) WHERE type = 'Customer' AND state = 'active'"),
+    _finding_sql("customer-without-order", "warn", "id", "''", "1", f"FROM ({_KEPT_NODES}) WHERE type = 'Customer' AND id NOT IN (SELECT dst FROM ({_KEPT_EDGES}))"),
+    _finding_sql("settled-premise", "warn", "src", "''", "count(*)", f"FROM ({_KEPT_EDGES}) e JOIN ({_KEPT_NODES}) n ON n.id = dst WHERE e.type = 'placed_by' GROUP BY src HAVING count(*) = count_if(state = 'active')"),
+]))
+def findings_kept_up(spark, sf_dir):
+    """Findings after three commits, each judged from its delta: parts go, suppliers' edges change type and orders leave, customers take a state."""
+    rules = [
+        *upkeep.schema_rules(BENCH),
+        upkeep.Rule(("customer-without-order",), upkeep.DST, lambda n, e: ru.without_edge(n.filter("type = 'Customer'"), e, "customer-without-order", "placed_by", end="dst")),
+        upkeep.Rule(("settled-premise",), upkeep.SRC, lambda n, e: ru.settled_premises(n, e, "placed_by", ("active",))),
+    ]
+    shown, links = ("id", "type", "state"), edges(spark, sf_dir)
+    repo = _repository(spark)
+    upkeep.commit_checked(repo, {"nodes": nodes(spark, sf_dir).select(*shown), "edges": links}, rules, "all")
+    upkeep.commit_checked(repo, {"nodes": _small(spark, sf_dir).select(*shown)}, rules, "no large parts")
+    retyped = F.when(F.col("src").like("s:%3"), "placed_by").otherwise(F.col("type"))
+    upkeep.commit_checked(repo, {"edges": links.filter(~((F.col("type") == "placed_by") & F.col("dst").endswith("5"))).withColumn("type", retyped)}, rules, "other edges")
+    state = F.when((F.col("type") == "Customer") & F.col("id").endswith("7"), "active").otherwise(F.col("state"))
+    upkeep.commit_checked(repo, {"nodes": repo.table("nodes").withColumn("state", state)}, rules, "states")
+    return _answer(repo, upkeep.findings_at(repo, repo.head(), rules))

@@ -95,6 +95,25 @@ def neighbors_capped(spark, sf_dir):
     return tr.neighbors_capped(edges(spark, sf_dir), seeds, depth=1)
 
 
+@query(f"""
+    WITH e AS (SELECT * FROM ({EDGES_SQL}) WHERE type IN ('in_region', 'in_nation', 'placed_by')),
+    a AS (SELECT id, src AS node, dst AS other FROM e UNION ALL SELECT id, dst, src FROM e),
+    r1 AS (SELECT 'c:' || c_custkey AS seed, a.*, row_number() OVER (PARTITION BY c_custkey ORDER BY a.id) AS k FROM customer JOIN a ON a.node = 'c:' || c_custkey),
+    t1 AS (SELECT * FROM r1 WHERE k <= 10),
+    r2 AS (SELECT f.seed, a.*, row_number() OVER (PARTITION BY f.seed, a.node ORDER BY a.id) AS k
+           FROM (SELECT DISTINCT seed, other AS node FROM t1) f JOIN a ON a.node = f.node
+           WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.seed = f.seed AND t1.id = a.id)),
+    o2 AS (SELECT seed, id, min(struct_pack(node := node, k := k)) AS m FROM r2 WHERE k <= 10 GROUP BY seed, id),
+    u AS (SELECT seed, id, node, k, 1 AS depth FROM t1 UNION ALL SELECT seed, id, m.node, m.k, 2 FROM o2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node, k, id) AS place FROM u)
+    SELECT seed, id, type, src, dst, CAST(depth AS INTEGER) AS depth FROM n JOIN e USING (id) WHERE place <= 40
+""")
+def neighbors_of_each(spark, sf_dir):
+    """What each customer meets in two rounds, every customer with visited edges and caps of its own."""
+    links = edges(spark, sf_dir).filter(F.col("type").isin("in_region", "in_nation", "placed_by"))
+    return tr.neighbors_of_each(links, nodes(spark, sf_dir).filter("type = 'Customer'").select("id"), depth=2)
+
+
 @query(f"""
     SELECT id, other, edge_type, CAST(rank AS INTEGER) AS rank FROM (
         SELECT dst AS id, src AS other, type AS edge_type, row_number() OVER (PARTITION BY dst ORDER BY src, id) AS rank FROM ({EDGES_SQL}) WHERE type = 'placed_by'

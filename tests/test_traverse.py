@@ -100,3 +100,17 @@ def test_random_graphs_with_cycles(spark, seed):
 def test_a_path_into_a_cycle(spark):
     links = [(k, k + 1) for k in range(60)] + [(60, 40), (50, 500), (500, 501)]
     assert depths(spark, links) == depth_of(set(links))
+
+
+def test_every_seed_has_its_own_visits_and_caps(spark):
+    """Each seed's edges are those of a traversal from it alone, on a random graph with a hub."""
+    rnd = random.Random(9)
+    kinds = ("supersedes", "refines", "discussed_in", "other")
+    rows = [(f"e{i}", rnd.choice(kinds), "hub" if rnd.random() < 0.3 else f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}") for i in range(70)]
+    edges = spark.createDataFrame(rows, "id string, type string, src string, dst string")
+    seeds = ["hub", "n0", "n5", "nobody"]
+    together = traverse.neighbors_of_each(edges, spark.createDataFrame([(s,) for s in [*seeds, "n0", None]], "id string"), 3, 3, 10).collect()
+    for seed in seeds:
+        alone = traverse.neighbors_capped(edges, spark.createDataFrame([(seed,)], "id string"), 3, 3, 10).collect()
+        assert {(r.id, r.type, r.src, r.dst, r.depth) for r in together if r.seed == seed} == {tuple(r) for r in alone}
+    assert len(together) > 20 and {r.seed for r in together} == set(seeds) - {"nobody"}
