@@ -11,8 +11,8 @@ from ..functions import code
 from ..graph import KnowledgeGraph
 from ..operators import assist, brief, carving, checks, code_index, diff, duplicates, merge, mutate
 from ..schema import SYSTEM
-from ..session import checkpoint_dir
-from ..sources import vault, vector_index
+from ..session import checkpoint_dir, shared_checkpoint
+from ..sources import vault, vault_source, vector_index
 from ..sources.snapshots import SnapshotStore, changed_files, lost_nodes
 from .projection import EDGES_SQL, NODES_SQL, edges, nodes, table, vectors
 from .queries_carving import _FRAME_PATHS, _W, carved
@@ -36,6 +36,20 @@ def vault_roundtrip_edges(spark, sf_dir):
     return vault.edges_of(_reimported(spark, sf_dir)).select("id", "type", "src", "dst")
 
 
+@query(f"SELECT id, type, title, summary FROM ({NODES_SQL}) WHERE type IN ('Customer', 'Nation')")
+def vault_source_roundtrip(spark, sf_dir):
+    """Customers, suppliers and nations written as files by commit; the folders of two types read back."""
+    folder = f"{checkpoint_dir(spark)}/vault-{uuid.uuid4().hex}"
+    own = nodes(spark, sf_dir).filter("type in ('Customer', 'Supplier', 'Nation')").select("id", "type", "title", "summary")
+    links = edges(spark, sf_dir).filter("type in ('in_nation', 'in_region')")
+    vault.write_files(vault.render_files(KnowledgeGraph(own, links)), folder)
+    read = vault_source.read(spark, folder).filter(F.col("folder").isin("Customer", "Nation"))
+    out = shared_checkpoint(vault.nodes_of(vault.parse_files(read), ("title", "summary")).select("id", "type", "title", "summary"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 @query(f"""
     WITH n AS (SELECT *, regexp_replace(trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '-'), '^$', id) AS s FROM ({NODES_SQL}) WHERE type = 'Nation' OR type = 'Region')
     SELECT type || '/' || s || '.md' AS path FROM n
