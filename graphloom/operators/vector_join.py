@@ -10,19 +10,24 @@ of cells, in a task of its own; every pair that meets is still computed, and the
 pivots only decide what needs not be. Where a sample shows that vectors lie too
 evenly for that (many dimensions without groups), blocks of rows meet instead.
 
-Either way a pair's dot product is first bounded by that of its first dimensions
-and the lengths of the rest; the whole is computed where the bound reaches the
-limit.
+Either way two lists of rows meet in one task, as matrices: one product tells
+the pairs that come near the limit, and only theirs are summed in the order of
+the dimensions, so that equal vectors have equal cosines wherever they meet.
+Vectors may have any length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as vx
 from ..session import shared_checkpoint
@@ -31,33 +36,103 @@ from ..session import shared_checkpoint
 CELL, PIVOTS, SAMPLE = 2048, 16, 2000
 #: Radians that rounding may add to a difference of angles.
 SLACK = 1e-6
-#: The share of a vector's dimensions that bounds look at, and of a sample's pairs that pivots must exclude to be used.
-HEAD, WORTH = 3 / 8, 0.3
+#: The share of a sample's pairs that pivots must exclude to be used, and left rows of one product.
+WORTH, STRIP = 0.3, 256
 
 
-def with_heads(rows: DataFrame) -> DataFrame:
-    """``rows`` (v) with the first dimensions ``h`` of v and the length ``r`` of the rest."""
-    size = F.ceil(F.size("v") * HEAD).cast("int")
-    return rows.withColumns({"h": F.slice("v", F.lit(1), size), "r": vx.norm(F.slice("v", size + 1, F.size("v")))})
+def usable(vector: Column) -> Column:
+    """Neither null nor with a null in it."""
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull())
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Of pairs of rows with heads (under 1 and 2) those with a cosine of ``least`` or more, and cosine."""
-    most = vx.dot(F.col("h1"), F.col("h2")) + F.col("r1") * F.col("r2")
-    may = (F.size("v1") != F.size("v2")) | (most >= least - SLACK)
-    return pairs.filter(may).withColumn("cosine", vx.dot(F.col("v1"), F.col("v2"))).filter(F.col("cosine") >= least).drop("h1", "h2", "r1", "r2")
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(size == 0, 1, size)
+
+
+def _matrices(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows' numbers and vectors, as one matrix for each number of dimensions."""
+    lists = pa.concat_arrays(column.chunks)
+    size = pc.list_value_length(lists).to_numpy()
+    flat, start = lists.flatten().to_numpy(), np.cumsum(size) - size
+    return [(at := np.flatnonzero(size == n), flat[start[at][:, None] + np.arange(n)]) for n in np.unique(size)]
+
+
+def _summed(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows i of a and j of b over the shorter ones' dimensions, in their order."""
+    out = np.zeros(len(i))
+    for x, y in zip(a.T.copy(), b.T.copy(), strict=False):
+        out += x[i] * y[j]
+    return out
+
+
+def _cosines(left: pa.ChunkedArray, right: pa.ChunkedArray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in both and cosine of the pairs with ``least`` or more (or that are no number), some left rows at a time. A zero vector's cosine is 0."""
+    theirs = [(at, v, _unit(v), _summed(v, v, own := np.arange(len(v)), own)) for at, v in _matrices(right)]
+    for here, mine in _matrices(left):
+        square = _summed(mine, mine, own := np.arange(len(mine)), own)
+        for first in range(0, len(mine), STRIP):
+            some, size = mine[first : first + STRIP], square[first : first + STRIP]
+            unit, found = _unit(some), []
+            for there, v, heads, sizes in theirs:
+                n = min(some.shape[1], v.shape[1])
+                i, j = np.nonzero(~(unit[:, :n] @ heads[:, :n].T < least - SLACK))
+                length = np.sqrt(size[i] * sizes[j])
+                cosine = np.clip(np.where(length == 0, 0.0, _summed(some, v, i, j) / np.where(length == 0, 1, length)), -1, 1)
+                keep = ~(cosine < least)
+                found.append((here[first + i[keep]], there[j[keep]], cosine[keep]))
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _best(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, match: pa.ChunkedArray, top: int) -> np.ndarray:
+    """Of pairs the numbers of the ``top`` most similar ones of each i, the smallest match first among equals; what is no number is largest."""
+    place = pc.rank(match, sort_keys="ascending", tiebreaker="dense").to_numpy()
+    order = np.lexsort((place[j], -np.where(np.isnan(cosine), np.inf, cosine), i))
+    starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order))) < top]
+
+
+def meet(left: DataFrame, right: DataFrame, by: list[str], least: float, top: tuple[str, str, int] | None = None) -> DataFrame:
+    """Of rows (``by``, v, others) those pairs of equal ``by`` that have a cosine of ``least`` or more: by, others, cosine.
+
+    The other columns need different names. ``top`` is a left and a right
+    column and a number: of a left row, only that many pairs of different
+    values, the most similar ones of those that meet in a task, are given.
+    """
+    own = [c for c in left.columns if c not in (*by, "v")]
+    other = [c for c in right.columns if c not in (*by, "v")]
+    fields = [*(left.schema[c] for c in (*by, *own)), *(right.schema[c] for c in other)]
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("cosine", T.DoubleType())])
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = []
+        if a.num_rows and b.num_rows:
+            for i, j, cosine in _cosines(a["v"], b["v"], least):
+                if top is not None:
+                    differ = pc.fill_null(pc.not_equal(a[top[0]].take(i), b[top[1]].take(j)), False).to_numpy()
+                    i, j, cosine = i[differ], j[differ], cosine[differ]
+                    kept = _best(i, j, cosine, b[top[1]], top[2])
+                    i, j, cosine = i[kept], j[kept], cosine[kept]
+                parts.append(pa.table([*(a[c].take(i) for c in (*by, *own)), *(b[c].take(j) for c in other), pa.array(cosine)], names=kinds.names))
+        none = pa.table([*(a[c][:0] for c in (*by, *own)), *(b[c][:0] for c in other), pa.array([], pa.float64())], names=kinds.names)
+        return pa.concat_tables([none, *parts])
+
+    # Every column anew: the sides may be one table.
+    sides = [x.filter(usable(F.col("v"))).select(*(F.col(c).alias(c) for c in (*by, *names)), vx.as_doubles(F.col("v")).alias("v")).groupBy(*by) for x, names in ((left, own), (right, other))]
+    return sides[0].cogroup(sides[1]).applyInArrow(solve, kinds)
 
 
 def useful_pivots(rows: DataFrame, id_col: str, least: float, count: int = PIVOTS) -> np.ndarray | None:
-    """Unit vectors far from each other, of a sample by hash, a row each; None if their bounds exclude few of the sample's pairs."""
+    """Vectors far from each other, of a sample by hash, a unit row each; None if their bounds exclude few of the sample's pairs."""
     if least <= 0:
         return None
     drawn = rows.select("v").orderBy(F.xxhash64(F.col(id_col).cast("string"))).limit(SAMPLE).collect()
-    found = [r.v for r in drawn if r.v is not None and any(r.v)]
+    found = [r.v for r in drawn if r.v is not None and None not in r.v and any(r.v) and np.isfinite(r.v).all()]
     if len(found) < 2:
         return None
     size = max({len(v) for v in found}, key=[len(v) for v in found].count)
-    sample = np.array([v for v in found if len(v) == size])
+    sample = _unit(np.array([v for v in found if len(v) == size], float))
     picked, nearest = [0], sample @ sample[0]
     while len(picked) < min(count, len(sample)) and nearest.min() < 1 - 1e-9:
         picked.append(int(nearest.argmin()))
@@ -78,13 +153,13 @@ def _width(angle: float) -> float:
 
 
 def _placed(rows: DataFrame, key: str, id_col: str, pivots: np.ndarray, width: float) -> DataFrame:
-    """``rows`` with their angles, region, and cell; rows without as many dimensions as the pivots share an open region."""
+    """``rows`` with their angles, region, and cell; rows without as many dimensions as the pivots, or with infinite ones, share an open region."""
 
     @F.pandas_udf("array<double>")
     def angles(vectors: pd.Series) -> pd.Series:
-        fits = [v is not None and len(v) == pivots.shape[1] for v in vectors]
+        fits = [len(v) == pivots.shape[1] and np.isfinite(v).all() for v in vectors]
         own = [v for v, fit in zip(vectors, fits, strict=True) if fit]
-        found = iter(np.arccos(np.clip(np.stack(own) @ pivots.T, -1, 1)) if own else ())
+        found = iter(np.arccos(np.clip(_unit(np.stack(own)) @ pivots.T, -1, 1)) if own else ())
         return pd.Series([next(found) if fit else None for fit in fits], index=vectors.index, dtype=object)
 
     nearest = F.when(F.col("angles").isNull(), -1).otherwise(F.array_position("angles", F.array_min("angles")).cast("int") - 1)
@@ -124,38 +199,40 @@ def cell_pairs(left: DataFrame, right: DataFrame, key: str, pivots: int, angle:
 
 def _met(left: DataFrame, right: DataFrame, key: str, id1: str, id2: str, least: float, pivots: np.ndarray, same: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both tables' rows with cells, and the pairs of cells."""
-    real = F.exists("v", lambda x: x != 0)  # a zero vector's cosine is 0 and below any positive limit
+    real = usable(F.col("v")) & F.exists("v", lambda x: x != 0)  # a zero vector's cosine is 0 and below any positive limit
     angle = math.acos(min(least, 1.0))
-    one = _placed(with_heads(left.filter(real)), key, id1, pivots, _width(angle))
-    two = one if same else _placed(with_heads(right.filter(real)), key, id2, pivots, _width(angle))
+    one = _placed(left.filter(real), key, id1, pivots, _width(angle))
+    two = one if same else _placed(right.filter(real), key, id2, pivots, _width(angle))
     return one, two, cell_pairs(one, two, key, len(pivots), angle, same)
 
 
-def _joined(one: DataFrame, two: DataFrame, cells: DataFrame, key: str, names1: dict[str, str], names2: dict[str, str]) -> DataFrame:
+def _joined(one: DataFrame, two: DataFrame, cells: DataFrame, key: str, names1: dict[str, str], names2: dict[str, str], least: float, top: tuple[str, str, int] | None = None) -> DataFrame:
+    """The pairs of the rows of pairs of cells, with their columns (v aside) by other names."""
     cut = cells.select(key, "cell1", "cell2")
-    first = one.select(key, F.col("cell").alias("cell1"), *(F.col(a).alias(b) for a, b in names1.items())).join(cut, [key, "cell1"])
-    second = two.select(key, F.col("cell").alias("cell2"), *(F.col(a).alias(b) for a, b in names2.items())).join(cut, [key, "cell2"])
-    return first.join(second, [key, "cell1", "cell2"])
+    first = one.select(key, F.col("cell").alias("cell1"), "v", *(F.col(a).alias(b) for a, b in names1.items())).join(cut, [key, "cell1"])
+    second = two.select(key, F.col("cell").alias("cell2"), "v", *(F.col(a).alias(b) for a, b in names2.items())).join(cut, [key, "cell2"])
+    return meet(first, second, [key, "cell1", "cell2"], least, top)
 
 
 def pairs_within(rows: DataFrame, key: str, least: float, pivots: np.ndarray, id_col: str = "a") -> DataFrame:
-    """Unordered pairs of rows of one key whose unit vectors ``v`` have a cosine of ``least`` (above 0) or more.
+    """Unordered pairs of rows of one key whose vectors ``v`` have a cosine of ``least`` (above 0) or more.
 
-    Each once: ``key``, the columns of either row under 1 and 2, and cosine.
+    Each once: ``key``, the other columns of either row under 1 and 2, and cosine.
     """
     one, two, cells = _met(rows, rows, key, id_col, id_col, least, pivots, True)
-    names = [c for c in (*rows.columns, "h", "r") if c != key]
-    out = _joined(one, two, cells, key, {c: f"{c}1" for c in names}, {c: f"{c}2" for c in names})
-    out = out.filter((F.col("cell1") != F.col("cell2")) | (F.col(f"{id_col}1") < F.col(f"{id_col}2"))).drop("cell1", "cell2")
-    return alike(out, least)
+    names = [c for c in rows.columns if c not in (key, "v")]
+    out = _joined(one, two, cells, key, {c: f"{c}1" for c in names}, {c: f"{c}2" for c in names}, least)
+    return out.filter((F.col("cell1") != F.col("cell2")) | (F.col(f"{id_col}1") < F.col(f"{id_col}2"))).drop("cell1", "cell2")
+
 
+def pairs_between(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, pivots: np.ndarray, top: int | None = None) -> DataFrame:
+    """Pairs of a left (``left_id``, v) and a right row (``right_id``, v) of one key with a cosine of ``least`` (above 0) or more, and cosine.
 
-def pairs_between(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, least: float, pivots: np.ndarray) -> DataFrame:
-    """Pairs of a left (``left_id``, v) and a right row (``right_id``, v) of one key with a cosine of ``least`` (above 0) or more, and cosine."""
+    With ``top``, a left row's best so many of other ids in each pair of cells.
+    """
     one, two, cells = _met(left, right, key, left_id, right_id, least, pivots, False)
-    own = {c: (f"{c}1", f"{c}2") for c in ("v", "h", "r")}
-    out = _joined(one, two, cells, key, {left_id: left_id} | {c: n for c, (n, _) in own.items()}, {right_id: right_id} | {c: n for c, (_, n) in own.items()})
-    return alike(out.drop("cell1", "cell2"), least).drop("v1", "v2")
+    best = None if top is None else (left_id, right_id, top)
+    return _joined(one, two, cells, key, {left_id: left_id}, {right_id: right_id}, least, best).drop("cell1", "cell2")
 
 
 def evaluated_pairs(rows: DataFrame, key: str, least: float, pivots: np.ndarray, id_col: str = "a") -> DataFrame:
