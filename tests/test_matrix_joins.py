@@ -41,3 +41,13 @@ def test_a_band_of_many_rows(spark):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     n = sum(int(np.triu((c >= 0.7) & (c < 0.8), 1 + k).sum()) for k in range(0, 12000, 1000) for c in [unit[k : k + 1000] @ unit.T])
     assert found.count() == n > 1000
+
+
+def test_types_of_a_family_that_meet_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    own = rows(3, 160)
+    groups = spark.createDataFrame([(0, 0), (1, 0)], "type int, family int")
+    found = similarity.cross_type_pairs(table(spark, own).withColumnRenamed("label", "type"), groups, 0.3, "vec_id")
+    want = {(a, b, t, u, round(c, 4)) for a, t, v in own for b, u, w in own if a < b and t != u and (c := cosine(v, w)) >= 0.3}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
