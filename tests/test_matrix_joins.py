@@ -51,3 +51,11 @@ def test_types_of_a_family_that_meet_in_many_blocks(spark, monkeypatch):
     want = {(a, b, t, u, round(c, 4)) for a, t, v in own for b, u, w in own if a < b and t != u and (c := cosine(v, w)) >= 0.3}
     assert {tuple(r) for r in found.collect()} == want
     assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_odd_vectors(spark):
+    """Vectors with a null, or null, match nothing; a zero vector's cosine is 0; another length is compared as far as both go."""
+    own = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, None]), (3, 0, None), (4, 0, [0.0, 0.0]), (5, 0, [2.0, 0.0]), (6, 0, [3.0]), (7, None, [1.0, 0.0]), (8, 0, [])]
+    found = lambda least: {(r.a, r.b) for r in similarity.vector_pairs(table(spark, own), least, key="label", id_col="vec_id").collect()}
+    assert found(0.5) == {(1, 5), (1, 6), (5, 6)}
+    assert (1, 4) in found(0.0) and (1, 4) not in found(0.1)
