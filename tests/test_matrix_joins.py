@@ -59,3 +59,18 @@ def test_odd_vectors(spark):
     found = lambda least: {(r.a, r.b) for r in similarity.vector_pairs(table(spark, own), least, key="label", id_col="vec_id").collect()}
     assert found(0.5) == {(1, 5), (1, 6), (5, 6)}
     assert (1, 4) in found(0.0) and (1, 4) not in found(0.1)
+
+
+def test_a_task_gives_no_more_than_the_best(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    own = rows(4, 100)
+    own += [(k + 100, t, v) for k, t, v in own]  # copies, whose cosines are equal wherever they meet
+    sides = [table(spark, own).select(F.col("vec_id").alias(name), "label", F.col("vector").alias("v")) for name in ("id", "match")]
+    blocks = -(-len(own) // 2 // 32)
+    assert similarity.between_alike(*sides, "label", "id", "match", 0.1, 2).count() <= len(own) * blocks * 2
+    found = similarity.top_matches(*[table(spark, own).withColumnRenamed("vec_id", "id")] * 2, "label", 0.1, 4)
+    want = set()
+    for a, t, v in own:
+        near = sorted((-min(c, 1.0), b) for b, u, w in own if a != b and t == u and (c := cosine(v, w)) >= 0.1)
+        want |= {(a, b, round(-c, 4), k) for k, (c, b) in enumerate(near[:4], 1)}
+    assert {tuple(r) for r in found.collect()} == want
