@@ -49,6 +49,23 @@ def vector_suspects(candidates: DataFrame, nodes: DataFrame, vectors: DataFrame)
     return pairs.withColumn("kind", kind).filter("kind is not null").select("candidate", "existing", F.round("c", 4).alias("similarity"), "kind")
 
 
+def lexical_gate(candidates: DataFrame, nodes: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """:func:`gate` of :func:`lexical_suspects` alone, from counts by name.
+
+    Holders of a name are counted and never paired, so that a name that many
+    share costs no more than others. A candidate among them doesn't count.
+    """
+    named = ["type", "system", "name"]
+    living = with_columns(nodes, state="string").filter(F.coalesce(~F.col("state").isin(*TERMINAL_STATES), F.lit(True)))
+    known = acknowledged.select("id").distinct().withColumn("ack", F.lit(True))
+    held = normalized_names(living).filter("id is not null").distinct().join(known, "id", "left").withColumn("open", F.col("ack").isNull().cast("long")).drop("ack")
+    counts = held.groupBy(*named).agg(F.count("*").alias("n"), F.sum("open").alias("k"))
+    asked = normalized_names(candidates).distinct().filter("id is not null").join(counts, named)
+    others = asked.join(held, ["id", *named], "left").select("id", (F.col("n") - F.col("open").isNotNull().cast("long")).alias("n"), (F.col("k") - F.coalesce("open", F.lit(0))).alias("k"))
+    suspected = others.filter("n > 0").groupBy(F.col("id").alias("candidate")).agg(F.max("k").alias("open"))
+    return suspected.select("candidate", F.when(F.col("open") == 0, "acked").otherwise("rejected").alias("status"))
+
+
 def gate(lexical: DataFrame, by_vector: DataFrame | None, acknowledged: DataFrame) -> DataFrame:
     """(candidate, status): ok rows are absent; acked if each suspect pair's existing id is acknowledged (id), else rejected."""
     suspects = lexical.select("candidate", "existing")

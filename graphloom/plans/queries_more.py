@@ -112,8 +112,7 @@ _NAMES = "SELECT p_partkey AS k, 'part:' || (p_partkey % 3) || ':' || p_partkey
 def duplicate_gate(spark, sf_dir):
     key = F.col("p_partkey")
     own = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), key % 3, F.lit(":"), key).alias("id"), F.lit("Part").alias("type"), F.col("p_name").alias("title"))
-    suspects = duplicates.lexical_suspects(own.filter("id like '%9'"), own)
-    return duplicates.gate(suspects, None, own.filter("id like '%1' or id like '%2'").select("id"))
+    return duplicates.lexical_gate(own.filter("id like '%9'"), own, own.filter("id like '%1' or id like '%2'").select("id"))
 
 
 _COS = "round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), {})"
