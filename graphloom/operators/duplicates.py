@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as vx
 from ..functions.text import normalize_text
 from .carving import with_columns
 from .search import TERMINAL_STATES
-from .similarity import between
+from .similarity import between_alike
 
 DUPLICATE, RELATED = 0.92, 0.80
 # Types that can say the same.
@@ -42,8 +41,8 @@ def vector_suspects(candidates: DataFrame, nodes: DataFrame, vectors: DataFrame)
     """
     family = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))
     rows = nodes.select("id", "type").join(vectors.select(F.col("node_id").alias("id"), "vector"), "id")
-    side = lambda df, name, v: df.select(F.col("id").alias(name), F.col("type").alias(f"t_{name}"), F.coalesce(family[F.col("type")], "type").alias("family"), vx.unit(vx.as_doubles(F.col("vector"))).alias(v))
-    pairs = between(side(candidates, "candidate", "va"), side(rows, "existing", "vb"), "family", "candidate", "existing").filter("candidate <> existing").withColumn("c", vx.dot(F.col("va"), F.col("vb")))
+    side = lambda df, name: df.select(F.col("id").alias(name), F.col("type").alias(f"t_{name}"), F.coalesce(family[F.col("type")], "type").alias("family"), F.col("vector").alias("v"))
+    pairs = between_alike(side(candidates, "candidate"), side(rows, "existing"), "family", "candidate", "existing", RELATED).filter("candidate <> existing").withColumnRenamed("cosine", "c")
     same = F.col("t_candidate") == F.col("t_existing")
     kind = F.when(same & (F.col("c") >= DUPLICATE), "duplicate").when(~same & (F.col("c") >= DUPLICATE), "cross-type").when(same & (F.col("c") >= RELATED), "related")
     return pairs.withColumn("kind", kind).filter("kind is not null").select("candidate", "existing", F.round("c", 4).alias("similarity"), "kind")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.operators import duplicates
@@ -22,3 +23,17 @@ def test_a_name_of_many(spark):
     own = spark.range(50000).select(F.concat(F.lit("p:s:"), "id").alias("id"), F.lit("Part").alias("type"), F.lit("Box").alias("title"))
     found = duplicates.lexical_gate(own, own, own.filter("id <> 'p:s:7'"))
     assert {(r.status, r["count"]) for r in found.groupBy("status").count().collect()} == {("rejected", 49999), ("acked", 1)}
+
+
+def test_vector_suspects_of_many(spark):
+    """6,000 candidates against 6,000 nodes of one family, with the limits as plain sums have them."""
+    rnd = np.random.default_rng(5)
+    a, b = rnd.normal(size=(2, 6000, 6))
+    kinds = ["Decision", "OperationalKnowledge"]
+    asked = spark.createDataFrame([(f"a:{k}", kinds[k % 2], v) for k, v in enumerate(a.tolist())], "id string, type string, vector array<double>")
+    there = spark.createDataFrame([(f"b:{k}", kinds[k % 2], v) for k, v in enumerate(b.tolist())], "id string, type string, vector array<double>")
+    found = duplicates.vector_suspects(asked, there.select("id", "type"), there.select(F.col("id").alias("node_id"), "vector"))
+    counts = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    c = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    same = (np.arange(6000)[:, None] - np.arange(6000)) % 2 == 0
+    assert counts == {"duplicate": (same & (c >= 0.92)).sum(), "cross-type": (~same & (c >= 0.92)).sum(), "related": (same & (c >= 0.8) & (c < 0.92)).sum()}
