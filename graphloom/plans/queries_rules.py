@@ -21,10 +21,13 @@ def _finding_sql(rule: str, severity: str, subject: str, detail: str, n: str, re
 _SMALL_NODES = f"SELECT * FROM ({NODES_SQL}) WHERE type <> 'Part' OR id IN (SELECT 'p:' || p_partkey FROM part WHERE p_size <= 25)"
 
 
+def _large(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter("p_size > 25 or p_size is null").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("id"))
+
+
 def _small(spark, sf_dir):
     """Nodes without the large parts, so that edges dangle."""
-    large = table(spark, sf_dir, "part").filter("p_size > 25 or p_size is null").select(F.concat(F.lit("p:"), F.col("p_partkey")).alias("id"))
-    return nodes(spark, sf_dir).join(large, "id", "left_anti")
+    return nodes(spark, sf_dir).join(_large(spark, sf_dir), "id", "left_anti")
 
 
 @query(_finding_sql("missing-dst", "error", "e.id", "dst", "1", f"FROM ({EDGES_SQL}) e WHERE dst NOT IN (SELECT id FROM ({_SMALL_NODES}))"))
