@@ -19,3 +19,8 @@ def links(spark, n=9000):
 def test_components(spark):
     found = connected_components(links(spark)).collect()
     assert len(found) == 9000 and all(r.component == r.node - r.node % 3 for r in found)
+
+
+def test_labels(spark):
+    found = traverse.label_propagation(links(spark), 10).collect()
+    assert len(found) == 9000 and all(r.label // 3 == r.node // 3 for r in found)
