@@ -24,3 +24,8 @@ def test_components(spark):
 def test_labels(spark):
     found = traverse.label_propagation(links(spark), 10).collect()
     assert len(found) == 9000 and all(r.label // 3 == r.node // 3 for r in found)
+
+
+def test_labels_in_order(spark):
+    found = traverse.label_propagation_exact(links(spark).withColumn("grp", F.lit(0)), "grp").collect()
+    assert len(found) == 9000 and all(r.label // 3 == r.node // 3 for r in found)
