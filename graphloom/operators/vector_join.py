@@ -10,16 +10,17 @@ of cells, in a task of its own; every pair that meets is still computed, and the
 pivots only decide what needs not be. Where a sample shows that vectors lie too
 evenly for that (many dimensions without groups), blocks of rows meet instead.
 
-Either way two lists of rows meet in one task, as matrices: one product tells
-the pairs that come near the limit, and only theirs are summed in the order of
-the dimensions, so that equal vectors have equal cosines wherever they meet.
-Vectors may have any length.
+Either way two lists of rows meet in one task, as matrices: one product, in 32
+bits, tells the pairs that come near the limit (and, where a row's best are
+asked for, near those), by more than its rounding. Only theirs are summed in the
+order of the dimensions, so that equal vectors have equal cosines wherever they
+meet. Vectors may have any length.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ from ..session import shared_checkpoint
 CELL, PIVOTS, SAMPLE = 2048, 16, 2000
 #: Radians that rounding may add to a difference of angles.
 SLACK = 1e-6
+#: Twice what rounding to 32 bits may add to a product of unit vectors, for each dimension.
+FINE = 2.0**-23
 #: The share of a sample's pairs that pivots must exclude to be used, and left rows of one product.
 WORTH, STRIP = 0.3, 256
 
@@ -63,21 +66,46 @@ def _summed(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     """Dot products of rows i of a and j of b over the shorter ones' dimensions, in their order."""
     out = np.zeros(len(i))
     for x, y in zip(a.T.copy(), b.T.copy(), strict=False):
-        out += x[i] * y[j]
+        both = x[i]
+        both *= y[j]
+        out += both
     return out
 
 
-def _cosines(left: pa.ChunkedArray, right: pa.ChunkedArray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in both and cosine of the pairs with ``least`` or more (or that are no number), some left rows at a time. A zero vector's cosine is 0."""
-    theirs = [(at, v, _unit(v), _summed(v, v, own := np.arange(len(v)), own)) for at, v in _matrices(right)]
+def _hopeful(i: np.ndarray, near: np.ndarray, loose: float, top: int) -> np.ndarray:
+    """Whether a pair may be among the ``top`` most similar ones of its i (ascending), of cosines known to ``loose``."""
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    many = np.diff(starts, append=len(i))
+    if len(i) == 0 or many.max() <= top:
+        return np.ones(len(i), bool)
+    ordered = np.sort(4.0 * i - np.where(np.isnan(near), -1.5, near))  # by i, the largest cosine first
+    last = 4.0 * i[starts] - ordered[starts + np.minimum(many, top) - 1]
+    return ~(near < np.repeat(last, many) - 2 * loose)
+
+
+def _cosines(left: pa.ChunkedArray, right: pa.ChunkedArray, least: float, differ: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, top: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in both and cosine of the pairs with ``least`` or more (or that are no number), some left rows at a time. A zero vector's cosine is 0.
+
+    With ``differ``, of pairs that differ, and of a left row's at least the
+    ``top`` most similar ones of each length, with all their equals.
+    """
+    theirs = [(at, v, _unit(v).T.astype(np.float32, order="C"), _summed(v, v, own := np.arange(len(v)), own)) for at, v in _matrices(right)]
     for here, mine in _matrices(left):
         square = _summed(mine, mine, own := np.arange(len(mine)), own)
         for first in range(0, len(mine), STRIP):
             some, size = mine[first : first + STRIP], square[first : first + STRIP]
-            unit, found = _unit(some), []
+            unit, found = _unit(some).astype(np.float32), []
             for there, v, heads, sizes in theirs:
                 n = min(some.shape[1], v.shape[1])
-                i, j = np.nonzero(~(unit[:, :n] @ heads[:, :n].T < least - SLACK))
+                near = (unit[:, :n] @ heads[:n]).ravel()
+                loose = SLACK + (n + 8) * FINE
+                at = np.flatnonzero(~(near < least - loose))
+                i, j = np.divmod(at, len(v))
+                if differ is not None:
+                    keep = differ(here[first + i], there[j])
+                    i, j, near = i[keep], j[keep], near[at[keep]]
+                    keep = _hopeful(i, near, loose, top)
+                    i, j = i[keep], j[keep]
                 length = np.sqrt(size[i] * sizes[j])
                 cosine = np.clip(np.where(length == 0, 0.0, _summed(some, v, i, j) / np.where(length == 0, 1, length)), -1, 1)
                 keep = ~(cosine < least)
@@ -85,9 +113,8 @@ def _cosines(left: pa.ChunkedArray, right: pa.ChunkedArray, least: float) -> Ite
             yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _best(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, match: pa.ChunkedArray, top: int) -> np.ndarray:
-    """Of pairs the numbers of the ``top`` most similar ones of each i, the smallest match first among equals; what is no number is largest."""
-    place = pc.rank(match, sort_keys="ascending", tiebreaker="dense").to_numpy()
+def _best(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, place: np.ndarray, top: int) -> np.ndarray:
+    """Of pairs the numbers of the ``top`` most similar ones of each i, the smallest place of j first among equals; what is no number is largest."""
     order = np.lexsort((place[j], -np.where(np.isnan(cosine), np.inf, cosine), i))
     starts = np.flatnonzero(np.diff(i[order], prepend=-1))
     return order[np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order))) < top]
@@ -107,14 +134,16 @@ def meet(left: DataFrame, right: DataFrame, by: list[str], least: float, top: tu
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         parts = []
-        if a.num_rows and b.num_rows:
-            for i, j, cosine in _cosines(a["v"], b["v"], least):
-                if top is not None:
-                    differ = pc.fill_null(pc.not_equal(a[top[0]].take(i), b[top[1]].take(j)), False).to_numpy()
-                    i, j, cosine = i[differ], j[differ], cosine[differ]
-                    kept = _best(i, j, cosine, b[top[1]], top[2])
-                    i, j, cosine = i[kept], j[kept], cosine[kept]
-                parts.append(pa.table([*(a[c].take(i) for c in (*by, *own)), *(b[c].take(j) for c in other), pa.array(cosine)], names=kinds.names))
+        if a.num_rows and b.num_rows and top is None:
+            met = _cosines(a["v"], b["v"], least)
+        elif a.num_rows and b.num_rows:
+            place = pc.rank(b[top[1]], sort_keys="ascending", tiebreaker="dense").to_numpy()
+            met = _cosines(a["v"], b["v"], least, lambda i, j: pc.fill_null(pc.not_equal(a[top[0]].take(i), b[top[1]].take(j)), False).to_numpy(), top[2])
+            met = ((i[kept], j[kept], cosine[kept]) for i, j, cosine in met for kept in [_best(i, j, cosine, place, top[2])])
+        else:
+            met = ()
+        for i, j, cosine in met:
+            parts.append(pa.table([*(a[c].take(i) for c in (*by, *own)), *(b[c].take(j) for c in other), pa.array(cosine)], names=kinds.names))
         none = pa.table([*(a[c][:0] for c in (*by, *own)), *(b[c][:0] for c in other), pa.array([], pa.float64())], names=kinds.names)
         return pa.concat_tables([none, *parts])
 
