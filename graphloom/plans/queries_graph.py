@@ -317,7 +317,7 @@ def relation_band(spark, sf_dir):
     FROM v a JOIN v b ON a.family = b.family AND a.label <> b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.36
 """)
 def cross_type_dup(spark, sf_dir):
-    groups = spark.createDataFrame([(i, i % 3) for i in range(10)], "type int, family int")
+    groups = spark.range(10).select(F.col("id").cast("int").alias("type"), (F.col("id") % 3).cast("int").alias("family"))
     return sim.cross_type_pairs(vectors(spark, sf_dir).withColumnRenamed("label", "type"), groups, 0.36, "vec_id")
 
 
