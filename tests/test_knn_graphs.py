@@ -29,3 +29,41 @@ def test_labels(spark):
 def test_labels_in_order(spark):
     found = traverse.label_propagation_exact(links(spark).withColumn("grp", F.lit(0)), "grp").collect()
     assert len(found) == 9000 and all(r.label // 3 == r.node // 3 for r in found)
+
+
+def crowded(spark, n=6000):
+    """Rows of one key of which every third is a copy of one vector, and another third nearly so."""
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(n, 48))
+    base[::3] = base[0]
+    base[1::3] = base[1] + 0.001 * rnd.normal(size=(len(base[1::3]), 48))
+    return spark.createDataFrame([(k, 0, v) for k, v in enumerate(base.tolist())], "id long, label int, vector array<double>")
+
+
+def sent(rows):
+    """How often each row goes to a task for its best matches."""
+    own = rows.select("id", "label", F.col("vector").alias("v"))
+    return similarity._dealt(own, own.withColumnRenamed("id", "match"), "label", "id", "match")[0].count() / own.count()
+
+
+def near(spark):
+    rows = crowded(spark)
+    assert sent(rows) == 2
+    return similarity.top_matches(rows, rows, "label", 0.9, 4).select(F.col("id").alias("a"), F.col("match").alias("b"))
+
+
+def test_components_of_copies(spark):
+    pairs = near(spark).collect()
+    least = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    found = connected_components(near(spark)).collect()
+    assert {(r.node, r.component) for r in found} == {(x, root(x)) for x in least}
+    assert len(found) == 4000 and all(r.component == 0 for r in found if r.node % 3 == 0)
