@@ -1,5 +1,7 @@
 """Graphs of nearest vectors whose key fills many blocks."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -67,3 +69,16 @@ def test_components_of_copies(spark):
     found = connected_components(near(spark)).collect()
     assert {(r.node, r.component) for r in found} == {(x, root(x)) for x in least}
     assert len(found) == 4000 and all(r.component == 0 for r in found if r.node % 3 == 0)
+
+
+def test_labels_of_copies(spark):
+    around = {}
+    for a, b in near(spark).collect():
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    label = {x: x for x in around}
+    for _ in range(3):
+        votes = {x: Counter(label[y] for y in ys) for x, ys in around.items()}
+        label = {x: min(v, key=lambda k: (-v[k], k)) for x, v in votes.items()}
+    found = traverse.label_propagation(near(spark), 3).collect()
+    assert {r.node: r.label for r in found} == label and len(found) == 4000
