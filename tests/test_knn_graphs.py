@@ -82,3 +82,10 @@ def test_labels_of_copies(spark):
         label = {x: min(v, key=lambda k: (-v[k], k)) for x, v in votes.items()}
     found = traverse.label_propagation(near(spark), 3).collect()
     assert {r.node: r.label for r in found} == label and len(found) == 4000
+
+
+def test_labels_of_copies_in_order(spark):
+    found = traverse.label_propagation_exact(near(spark).withColumn("grp", F.lit(0)), "grp").collect()
+    assert len(found) == 4000 and all(r.label % 3 == r.node % 3 for r in found)
+    # The copies' matches are hubs, which are left out of the votes.
+    assert all(r.label == r.node for r in found if r.node % 3 == 0)
