@@ -3,27 +3,38 @@
 Each round moves every node's links to the smallest neighbour, first for larger
 neighbours and then for smaller ones, until all links form stars. The number of
 rounds grows with the logarithm of the longest path. A round costs two
-exchanges; nothing is collected but one checksum, which the round's own job
-observes, and no neighbour list is ever built.
+exchanges and no join, several rounds are one job, and the links that are asked
+for are read once; nothing is collected but whether all links form stars, and
+no neighbour list is ever built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 
+#: Rounds of a job; then links are kept and looked at.
+TOGETHER = 2
 
-def _star(links: DataFrame) -> DataFrame:
-    """Links (u, v) seen from u, each once: the neighbour v, and the least of u and its neighbours.
 
-    Dealt by u once; the aggregate, the join and the removal of repeats keep to
-    that.
-    """
+def _star(links: DataFrame) -> DataFrame:
+    """Links (u, v) seen from u, each once: the neighbour v, and the least m of u and its neighbours."""
     dealt = links.repartition("u").distinct()
-    least = dealt.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return dealt.join(least, "u")
+    return dealt.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+
+
+def _link(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+
+
+def _round(links: DataFrame) -> DataFrame:
+    """Links (u, v), v at most u, after both stars. A loop stays until its node has a smaller neighbour."""
+    large = _star(links.select(F.inline(F.array(_link("u", "v"), _link("v", "u"))))).filter("v >= u")
+    small = _star(large.select(F.col("v").alias("u"), F.when(F.col("v") > F.col("u"), F.col("m")).otherwise(F.col("v")).alias("v")))
+    own, other = _link("u", "m"), _link("v", "m")
+    return small.select(F.inline(F.when(F.col("v") == F.col("m"), F.array(own)).otherwise(F.array(own, other))))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -32,20 +43,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Direction, loops, repeats and null ends of edges don't matter (a null end
     links nothing). RuntimeError if ``rounds`` do not suffice.
     """
-    clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    start = shared_checkpoint(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    nodes = start.select(F.col("u").alias("node")).union(start.filter("u <> v").select("v")).distinct()
-    links, before = start.filter("u <> v"), None
-    for _ in range(rounds):
-        large = _star(links.union(links.select("v", "u"))).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = _star(large)
-        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v")
-        seen = Observation()
-        # A star link may come from several tasks: xor would cancel, so repeats go first, where they meet.
-        settled = small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        links = shared_checkpoint(settled)
-        after = (seen.get["n"], seen.get["h"])
-        if after == before:
-            return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        before = after
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
+    for done in range(1, rounds + 1):
+        links = _round(links)
+        if done % TOGETHER == 0 or done == rounds:
+            links = shared_checkpoint(links)
+            found = links.select(F.inline(F.array(_link("u", "v"), _link("v", "v")))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"), F.max("v").alias("other"))
+            if found.filter("component <> other").isEmpty():
+                return found.select("node", "component")
     raise RuntimeError("components did not settle")
