@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, shared_checkpoint, shuffle_cleanup
+from ..session import checkpoint_dir, drop_folder, drop_table, shared_checkpoint, shared_table
 
 __all__ = ["checkpoint_dir", "drop_folder", "drop_rows", "drop_table", "keep_rows", "shared_checkpoint", "shared_table"]
 
@@ -32,27 +30,3 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
 def drop_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text are among ``chosen``."""
     return _matched(docs, chosen, id_col, text_col, "left_anti").select(*docs.columns)
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder: later reads take only the columns they need.
-
-    The shuffle files that led to it go at once; see :func:`drop_table`.
-    """
-    spark, folder = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    with shuffle_cleanup(spark):
-        df.select("*").write.parquet(folder)
-    out = spark.read.parquet(folder)
-    out.shared_folder = folder
-    return out
-
-
-def drop_table(table: DataFrame) -> None:
-    """Remove what :func:`shared_table` wrote, once everything that reads it has been written itself."""
-    drop_folder(table.sparkSession, table.shared_folder)
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Remove a folder of the shared file system, whichever Hadoop reaches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

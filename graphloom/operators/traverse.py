@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import drop_table, shared_checkpoint, shared_table
+
+#: Rounds of label propagation in one job, after which labels are kept, and links of a task in it.
+TOGETHER, DEALT = 5, 500_000
 
 # Which edge types come first when neighbours are capped; others rank 50.
 EDGE_PRIORITY = {"supersedes": 0, "refines": 1, "has_premise": 2, "sets_policy_for": 3, "constrains": 4, "discussed_in": 90, "documented_by": 91}
@@ -100,14 +103,23 @@ def linked_nodes(edges: DataFrame, nodes: DataFrame, ids: DataFrame, edge_type:
 def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, label) after synchronous rounds over undirected (a, b): the most frequent neighbour label, the smallest of ties.
 
-    The distributed variant; see :func:`label_propagation_exact` for the
-    order-dependent one.
+    Links are read once and kept as a table of either direction; several rounds
+    are one job, in which that table is dealt once. The distributed variant; see
+    :func:`label_propagation_exact` for the order-dependent one.
     """
-    around = shared_checkpoint(links.select("a", "b").union(links.select("b", "a")).distinct().filter("a <> b"))
-    labels = around.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = around.join(labels, around["b"] == labels["node"]).groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = shared_checkpoint(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")))
+    ends = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    table = shared_table(links.filter("a <> b").select(ends).distinct())
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, -(-table.count() // DEALT))
+    around = table.repartition(parts, "b")
+    labels = around.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
+    for done in range(1, rounds + 1):
+        heard = around.join(labels, around["b"] == labels["node"]).select(F.col("a").alias("node"), "label").repartition(parts, "node")
+        votes = heard.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node", "n").agg(F.min("label").alias("label"))
+        labels = votes.groupBy("node").agg(F.max_by("label", "n").alias("label"))
+        if done % TOGETHER == 0 and done < rounds:
+            labels = shared_checkpoint(labels)
+    labels = shared_checkpoint(labels)
+    drop_table(table)
     return labels
 
 

@@ -1,8 +1,9 @@
-"""What a round of components reads and moves."""
+"""What a round of components and of label propagation reads and moves."""
 
 import random
+from collections import Counter
 
-from graphloom.operators import components
+from graphloom.operators import components, traverse
 
 
 def graph(n, m, seed):
@@ -38,3 +39,21 @@ def test_components_of_odd_links(spark):
                     least[a] = least[b] = min(least[a], least[b])
         assert sorted(components.connected_components(links).collect()) == sorted(least.items())
         assert seen.value == len(pairs)
+
+
+def test_propagation_computes_links_once(spark):
+    pairs = graph(80, 200, 5) + [(3, 3), (None, 1)]
+    links, seen = counted(spark, pairs)
+    around = {}
+    for a, b in pairs:
+        if a is not None and a != b:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+    for rounds in (0, 1, 5, 12):
+        label = {x: x for x in around}
+        for _ in range(rounds):
+            votes = {x: Counter(label[y] for y in ys) for x, ys in around.items()}
+            label = {x: min(v, key=lambda k: (-v[k], k)) for x, v in votes.items()}
+        seen.value = 0
+        assert dict(map(tuple, traverse.label_propagation(links, rounds).collect())) == label
+        assert seen.value == len(pairs)
