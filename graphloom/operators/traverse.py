@@ -126,46 +126,53 @@ def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
 def label_propagation_exact(links: DataFrame, graph_col: str, rounds: int = 30, hub_nodes: int = 25, hub_share: float = 0.12) -> DataFrame:
     """Asynchronous propagation in sorted node order, one graph per task: (graph_col, node, label).
 
-    Rows are (graph_col, a, b). In graphs of ``hub_nodes`` or more nodes those
-    of degree above both mean + 2 deviations and ``hub_share`` of all are left
-    out of the votes. A graph must fit one worker.
+    Rows are (graph_col, a, b); a null end links nothing. In graphs of
+    ``hub_nodes`` or more nodes those of degree above both mean + 2 deviations
+    and ``hub_share`` of all are left out of the votes. After its first vote a
+    node votes again only where a neighbour has moved since, which changes no
+    outcome. A graph must fit one worker.
     """
 
     def solve(pdf):
+        import numpy as np
         import pandas as pd
 
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            if a != b:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        names = sorted(near)
-        degrees = [len(near[x]) for x in names]
-        hubs = set()
-        if len(names) >= hub_nodes:
-            mean = sum(degrees) / len(degrees)
-            cut = max(mean + 2 * (sum((d - mean) ** 2 for d in degrees) / len(degrees)) ** 0.5, hub_share * len(names))
-            hubs = {x for x, d in zip(names, degrees, strict=True) if d > cut}
-        label = {x: x for x in names}
+        graph, pdf = pdf[graph_col].iloc[0], pdf[pdf["a"] != pdf["b"]]
+        names, ends = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        count, (a, b) = len(names), ends.reshape(2, -1)
+        a, b = np.divmod(np.unique(np.concatenate([a * count + b, b * count + a])), max(count, 1))
+        if count >= hub_nodes:
+            degrees = np.bincount(a, minlength=count).tolist()
+            mean = sum(degrees) / count
+            cut = max(mean + 2 * (sum((d - mean) ** 2 for d in degrees) / count) ** 0.5, hub_share * count)
+            hub = np.array(degrees) > cut
+            a, b = a[kept := ~(hub[a] | hub[b])], b[kept]
+        starts, flat = np.searchsorted(a, np.arange(count + 1)).tolist(), b.tolist()
+        near = [flat[i:j] for i, j in zip(starts, starts[1:], strict=False)]
+        label, due, moved = list(range(count)), bytearray(map(bool, near)), True
         for _ in range(rounds):
-            moved = False
-            for x in names:
-                if x in hubs:
-                    continue
-                votes: dict = {}
-                for y in near[x] - hubs:
-                    votes[label[y]] = votes.get(label[y], 0) + 1
-                if votes:
-                    best = min(votes, key=lambda v: (-votes[v], v))
-                    if best != label[x]:
-                        label[x], moved = best, True
             if not moved:
                 break
-        return pd.DataFrame({graph_col: pdf[graph_col].iloc[0], "node": names, "label": [label[x] for x in names]})
+            moved, x = False, due.find(1)
+            while x >= 0:
+                due[x] = 0
+                votes: dict = {}
+                for y in near[x]:
+                    votes[label[y]] = votes.get(label[y], 0) + 1
+                most = max(votes.values())
+                best = min(v for v, n in votes.items() if n == most)
+                if best != label[x]:
+                    label[x], moved = best, True
+                    for y in near[x]:
+                        due[y] = 1
+                x = due.find(1, x + 1)
+        return pd.DataFrame({graph_col: graph, "node": names, "label": names[label]})
 
     kind = links.schema[graph_col].dataType.simpleString()
     node = links.schema["a"].dataType.simpleString()
-    return links.select(graph_col, "a", "b").groupBy(graph_col).applyInPandas(solve, f"{graph_col} {kind}, node {node}, label {node}")
+    # As many partitions as a shuffle has, whatever their sizes: graphs are small, but their work is not.
+    dealt = links.select(graph_col, "a", "b").filter("a is not null and b is not null").repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), graph_col)
+    return dealt.groupBy(graph_col).applyInPandas(solve, f"{graph_col} {kind}, node {node}, label {node}")
 
 
 def _longest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
